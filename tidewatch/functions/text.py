@@ -55,7 +55,9 @@ def word_count(c: Column | str) -> Column:
 
 
 def is_urgent(c: Column | str, words: list[str] | None = None) -> Column:
-    return F.coalesce(_col(c).rlike(r"(?i)\b(" + "|".join(words or URGENT_WORDS) + r")\b"), F.lit(False))
+    # word borders are ASCII ones: an accented letter ends a word
+    pattern = r"(?i)(?<![a-z0-9_])(" + "|".join(words or URGENT_WORDS) + r")(?![a-z0-9_])"
+    return F.coalesce(_col(c).rlike(pattern), F.lit(False))
 
 
 def truncate(c: Column | str, length: int, ellipsis: str = "") -> Column:

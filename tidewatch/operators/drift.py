@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.ordering import exact_quantiles, running
 from tidewatch.operators.sampling import mark_first
+from tidewatch.session import stage
 
 # fixed values: trigger thresholds (all strict), batch minimum, frequency floor
 PSI_THRESHOLD = 0.2
@@ -59,7 +60,7 @@ def bin_counts(counts: DataFrame, edges: DataFrame) -> DataFrame:
 
 def build_profile(df: DataFrame, categorical: list[str], numeric: list[str],
                   approximate: bool = False) -> DataFrame:
-    """Long profile: (feature, kind, category, bin, edges, freq).
+    """Long profile: (feature, kind, category, bin, edges, freq), written out like any model artefact.
 
     A numeric column without bins (a constant) keeps one row with a null bin so that it stays listed.
     ``approximate`` replaces exact deciles by a mergeable sketch for very wide value ranges.
@@ -86,7 +87,7 @@ def build_profile(df: DataFrame, categorical: list[str], numeric: list[str],
     profile = parts[0]
     for more in parts[1:]:
         profile = profile.unionByName(more)
-    return profile
+    return stage(profile, "profile")
 
 
 def psi_term(ref: Column, cur: Column) -> Column:

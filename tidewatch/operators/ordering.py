@@ -71,22 +71,17 @@ def exact_quantiles(df: DataFrame, key: str, value: str, probs: list[float]) ->
     counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
     ranked = running(counts, [key], [value], {"before": F.col("n")}, name="quantiles")
     totals = ranked.groupBy(key).agg(F.sum("n").alias("total"))
-    places = F.array(*[F.lit(float(p)) for p in probs])
     # keys are column names here, so `totals` has as many rows as the table has columns
-    wanted = totals.withColumn("p", F.explode(F.transform(places, lambda p: p * (F.col("total") - 1))))
-    wanted = wanted.select(key, "total", F.col("p").alias("place"),
-                           F.floor("p").alias("low"), F.ceil("p").alias("high"))
-    needed = wanted.groupBy(key).agg(
-        F.array_distinct(F.concat(F.collect_list("low"), F.collect_list("high"))).alias("slots"))
-    hits = ranked.join(F.broadcast(needed), key).select(
-        key, value, F.explode(F.filter(
-            "slots", lambda s: (s >= F.col("before")) & (s < F.col("before") + F.col("n")))).alias("slot"))
-    low = hits.select(key, F.col("slot").alias("low"), F.col(value).alias("v_low"))
-    high = hits.select(key, F.col("slot").alias("high"), F.col(value).alias("v_high"))
-    points = wanted.join(low, [key, "low"]).join(high, [key, "high"]).withColumn(
-        "q", F.when(F.col("v_low") == F.col("v_high"), F.col("v_low")).otherwise(
-            F.col("v_low") + (F.col("v_high") - F.col("v_low")) * (F.col("place") - F.col("low"))))
-    edges = points.groupBy(key).agg(
-        F.max("total").alias("total"),
-        F.transform(F.array_sort(F.collect_list(F.struct("place", "q"))), lambda s: s["q"]).alias("quantiles"))
+    last = F.col("total") - 1
+    slots = F.array_distinct(F.concat(*[F.array(F.floor(last * p), F.ceil(last * p)) for p in probs]))
+    here = F.filter(slots, lambda s: (s >= F.col("before")) & (s < F.col("before") + F.col("n")))
+    hits = ranked.join(F.broadcast(totals), key).select(key, "total", value, F.explode(here).alias("slot"))
+    at = hits.groupBy(key).agg(F.max("total").alias("total"), F.map_from_entries(
+        F.collect_list(F.struct("slot", value))).alias("at"))        # two slots per quantile at most
+
+    def quantile(p: float) -> Column:
+        low, high = F.col("at")[F.floor(last * p)], F.col("at")[F.ceil(last * p)]
+        return F.when(low == high, low).otherwise(low + (high - low) * (last * p - F.floor(last * p)))
+
+    edges = at.select(key, "total", F.array(*[quantile(float(p)) for p in probs]).alias("quantiles"))
     return ranked.select(key, value, "n"), edges
