@@ -118,7 +118,7 @@ def scored_crm(spark: SparkSession, folder: str) -> DataFrame:
 # ------------------------------------------------------------------ usage events
 
 EVENTS = """ev AS (
-  SELECT event_id AS id, ts AS at, user_id AS visitor,
+  SELECT event_id AS id, ts AS "at", user_id AS visitor,
          CASE WHEN event_type = 'error' THEN 'failed' ELSE 'answered' END AS outcome,
          CAST(CAST(round(value * 100) AS BIGINT) / 10000.0 AS DECIMAL(10, 5)) AS usd,
          event_type, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, props

@@ -30,8 +30,13 @@ def positioned(df: DataFrame, order: list[str | Column], name: str = "ordered")
 def running(df: DataFrame, keys: list[str], order: list[str | Column], sums: dict[str, Column],
             inclusive: bool = False, name: str = "running") -> DataFrame:
     """Add, per row, the running sum of each expression over the earlier rows of the same keys."""
-    placed = positioned(df, [*keys, *order], name).withColumn(
-        _PART, F.shiftright(F.col(POSITION), 33))
+    return running_over(positioned(df, [*keys, *order], name), keys, sums, inclusive)
+
+
+def running_over(placed: DataFrame, keys: list[str], sums: dict[str, Column], inclusive: bool = False) -> DataFrame:
+    """``running`` over rows already ``positioned`` by (keys, order)."""
+    columns = [c for c in placed.columns if c != POSITION]
+    placed = placed.withColumn(_PART, F.shiftright(F.col(POSITION), 33))
     group = [*keys, _PART]
     totals = placed.groupBy(*group).agg(*[F.sum(e).alias(f"_t_{n}") for n, e in sums.items()])
     # (key, partition) pairs: one per key plus one per border crossed, so a key has few rows here
@@ -49,7 +54,7 @@ def running(df: DataFrame, keys: list[str], order: list[str | Column], sums: dic
         [F.col(f"h.{k}").eqNullSafe(F.col(f"c.{k}")) for k in group], "left")
     zero = F.lit(0)
     return carried.select(
-        *[F.col(f"h.{c}") for c in df.columns],
+        *[F.col(f"h.{c}") for c in columns],
         *[(F.coalesce(F.col(f"h._i_{n}"), zero) + F.coalesce(F.col(f"c._c_{n}"), zero)).alias(n)
           for n in sums],
     )
@@ -69,8 +74,9 @@ def exact_quantiles(df: DataFrame, key: str, value: str, probs: list[float]) ->
     histograms over the same data), ``edges(key, total, quantiles array)`` one row per key.
     """
     counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
-    ranked = running(counts, [key], [value], {"before": F.col("n")}, name="quantiles")
-    totals = ranked.groupBy(key).agg(F.sum("n").alias("total"))
+    placed = positioned(counts, [key, value], "quantiles")
+    ranked = running_over(placed, [key], {"before": F.col("n")})
+    totals = placed.groupBy(key).agg(F.sum("n").alias("total"))
     # keys are column names here, so `totals` has as many rows as the table has columns
     last = F.col("total") - 1
     slots = F.array_distinct(F.concat(*[F.array(F.floor(last * p), F.ceil(last * p)) for p in probs]))
@@ -84,4 +90,4 @@ def exact_quantiles(df: DataFrame, key: str, value: str, probs: list[float]) ->
         return F.when(low == high, low).otherwise(low + (high - low) * (last * p - F.floor(last * p)))
 
     edges = at.select(key, "total", F.array(*[quantile(float(p)) for p in probs]).alias("quantiles"))
-    return ranked.select(key, value, "n"), edges
+    return placed.select(key, value, "n"), stage(edges, "edges")
