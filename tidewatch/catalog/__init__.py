@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SUBJECTS = ["features", "operations", "search", "modelling"]
+SUBJECTS = ["features", "operations", "search", "modelling", "streams"]
 
 
 def load():
