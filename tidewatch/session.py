@@ -49,8 +49,9 @@ def prepare(spark: SparkSession) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), f"tidewatch-{spark.sparkContext.applicationId}")
-        spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
