@@ -13,6 +13,7 @@ from tidewatch.operators import drift, metrics, sampling
 from tidewatch.operators.cleaning import (align_columns, clean, drop_leaky, label_from, prepare_cases,
                                           split_by_type, unparsed)
 from tidewatch.operators.snapshots import calendar, churn_rate, matured
+from tidewatch.session import stage
 from tidewatch.sources.records import key_checks
 from tidewatch.sources.tables import table, transactions
 
@@ -175,9 +176,9 @@ cur AS (
   FROM crm LEFT JOIN moved USING (customer))"""
 
 
-def shifted_crm(spark, folder):
+def shifted(book):
     """Scenario 'both': +25 % price, 70 % of two segments moved to a third."""
-    priced = drift.what_if_price(crm(spark, folder), "balance", "spent", "orders")
+    priced = drift.what_if_price(book, "balance", "spent", "orders")
     return drift.what_if_segment(priced, "customer", "segment", _SHIFT_SOURCES, "HOUSEHOLD")
 
 
@@ -254,23 +255,23 @@ def decile_edges(spark, folder):
         "feature", (F.col("place") + 1).alias("place"), F.round("edge", 6).alias("edge"))
 
 
-def _psi(spark, folder, current):
-    reference = crm(spark, folder)
-    profile = drift.build_profile(reference, CRM_CATEGORICAL, CRM_NUMERIC)
-    return drift.feature_psi(profile, current, CRM_CATEGORICAL, CRM_NUMERIC)
+def _psi(spark, folder, change=lambda book: book):
+    book = stage(crm(spark, folder), "book")
+    profile = drift.build_profile(book, CRM_CATEGORICAL, CRM_NUMERIC)
+    return drift.feature_psi(profile, change(book), CRM_CATEGORICAL, CRM_NUMERIC)
 
 
 @query("feature_psi", f"""{_psi_sql(_SHIFTED)} SELECT feature, round(psi, 6) AS psi FROM psi""")
 def feature_psi(spark, folder):
     """PSI per feature under the 'both' scenario."""
-    return _psi(spark, folder, shifted_crm(spark, folder)).select("feature", F.round("psi", 6).alias("psi"))
+    return _psi(spark, folder, shifted).select("feature", F.round("psi", 6).alias("psi"))
 
 
 @query("feature_psi_unshifted", f"""{_psi_sql(CRM + ", cur AS (SELECT * FROM crm)")}
 SELECT feature, round(psi, 6) + 0.0 AS psi FROM psi""")
 def feature_psi_unshifted(spark, folder):
     """PSI of the book against itself: zero everywhere."""
-    return _psi(spark, folder, crm(spark, folder)).select("feature", (F.round("psi", 6) + 0.0).alias("psi"))
+    return _psi(spark, folder).select("feature", (F.round("psi", 6) + 0.0).alias("psi"))
 
 
 _IMPORTANCE = {"segment": 0.52, "nation": 0.08, "urgent": 0.1, "balance": 0.2, "orders": 0.06, "spent": 0.04}
@@ -287,7 +288,7 @@ FROM psi LEFT JOIN imp USING (feature)""")
 def drift_verdict(spark, folder):
     """Drifted features, importance mass and the retrain decision under the 'both' scenario."""
     importances = spark.createDataFrame(list(_IMPORTANCE.items()), "feature string, importance double")
-    verdict = drift.drift_verdict(_psi(spark, folder, shifted_crm(spark, folder)), importances)
+    verdict = drift.drift_verdict(_psi(spark, folder, shifted), importances)
     return verdict.select(F.array_join("drifted_features", ",").alias("drifted_features"),
                           "drifted_importance_mass", "importance_drift_trigger", "performance_trigger",
                           "retrain_recommended")
@@ -321,16 +322,16 @@ dist AS (SELECT feature, 'categorical' AS kind, distance FROM js
 @query("column_distances", f"{_DISTANCE} SELECT feature, kind, round(distance, 5) AS distance FROM dist")
 def column_distances(spark, folder):
     """Jensen-Shannon / normalised Wasserstein distance per column under the 'both' scenario."""
-    return drift.column_distances(crm(spark, folder), shifted_crm(spark, folder), CRM_CATEGORICAL,
-                                  CRM_NUMERIC).select("feature", "kind", F.round("distance", 5).alias("distance"))
+    book = stage(crm(spark, folder), "book")
+    return drift.column_distances(book, shifted(book), CRM_CATEGORICAL, CRM_NUMERIC).select("feature", "kind", F.round("distance", 5).alias("distance"))
 
 
 @query("drift_share_naive", f"""{_DISTANCE} SELECT count(*) FILTER (WHERE distance >= 0.1) AS drifted_columns,
 avg(CASE WHEN distance >= 0.1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share,
 avg(CASE WHEN distance >= 0.1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) >= 0.5 AS dataset_drift FROM dist""")
 def drift_share_naive(spark, folder):
-    return drift.drift_share(drift.column_distances(
-        crm(spark, folder), shifted_crm(spark, folder), CRM_CATEGORICAL, CRM_NUMERIC))
+    book = stage(crm(spark, folder), "book")
+    return drift.drift_share(drift.column_distances(book, shifted(book), CRM_CATEGORICAL, CRM_NUMERIC))
 
 
 # ------------------------------------------------------------------ metrics

@@ -11,7 +11,7 @@ from tidewatch.functions import rules, text
 from tidewatch.operators import actions, playbook, quota, routing, telemetry, usage
 from tidewatch.session import scratch_path
 from tidewatch.sources import records
-from tidewatch.sources.tables import table
+from tidewatch.sources.tables import table, texts
 
 # ------------------------------------------------------------------ text
 
@@ -23,7 +23,7 @@ _MASK = r"regexp_replace({0}, '(^|[^\p{{L}}\p{{N}}_])th[\p{{L}}\p{{N}}_]*', '\1'
 @query("text_normalize", f"""SELECT doc_id,
 {_SQUEEZE.format("regexp_replace(lower(text), '[^a-z]', ' ', 'g')")} AS normalized FROM documents""")
 def text_normalize(spark, folder):
-    return table(spark, folder, "documents", "doc_id", "text").select(
+    return texts(spark, folder, "documents", "doc_id", "text").select(
         "doc_id", text.normalize("text").alias("normalized"))
 
 
@@ -34,7 +34,7 @@ _MASKED = (r"trim(regexp_replace(regexp_replace(" + _MASK.format("text")
 @query("mask_term", f"SELECT doc_id, {_MASKED} AS masked FROM documents")
 def mask_term(spark, folder):
     """Remove every word starting with a term."""
-    return table(spark, folder, "documents", "doc_id", "text").select(
+    return texts(spark, folder, "documents", "doc_id", "text").select(
         "doc_id", text.mask_term("text", _TERM).alias("masked"))
 
 
@@ -47,7 +47,7 @@ _DROPPED = "CASE WHEN len(s) <= 1 THEN '' ELSE " + _SQUEEZE.format(
 
 @query("drop_last_sentence", f"WITH {_SENTENCES} SELECT doc_id, {_DROPPED} AS kept FROM parts")
 def drop_last_sentence(spark, folder):
-    return table(spark, folder, "documents", "doc_id", "text").select(
+    return texts(spark, folder, "documents", "doc_id", "text").select(
         "doc_id", text.drop_last_sentence("text", _TERM).alias("kept"))
 
 
@@ -58,7 +58,7 @@ SELECT count(*) FILTER (WHERE before) AS mention_before, count(*) FILTER (WHERE
        count(*) FILTER (WHERE kept = '') AS emptied, count(*) AS rows FROM a""")
 def leak_audit(spark, folder):
     """Rows mentioning a term before and after masking, rows emptied by dropping the last sentence."""
-    docs = table(spark, folder, "documents", "text")
+    docs = texts(spark, folder, "documents", "text")
     return docs.agg(
         F.count_if(text.mentions("text", _TERM)).alias("mention_before"),
         F.count_if(text.mentions(text.mask_term("text", _TERM), _TERM)).alias("mention_after"),
@@ -72,7 +72,7 @@ def leak_audit(spark, folder):
   text ILIKE '%license%' AS mentions_license FROM documents""")
 def text_measures(spark, folder):
     """Word count, truncation with ellipsis, urgency words, case-insensitive containment."""
-    return table(spark, folder, "documents", "doc_id", "text").select(
+    return texts(spark, folder, "documents", "doc_id", "text").select(
         "doc_id", text.word_count("text").alias("words"), text.truncate("text", 400, "…").alias("shown"),
         text.is_urgent("text").alias("urgent"), text.mentions("text", "license").alias("mentions_license"))
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.base import query
-from tidewatch.catalog.features import _IMPORTANCE, shifted_crm
+from tidewatch.catalog.features import _IMPORTANCE, shifted
 from tidewatch.catalog.operations import LIMITS, _changes
 from tidewatch.catalog.views import (CRM_CATEGORICAL, CRM_NUMERIC, EVENTS, INCOMING, crm, with_rule_category)
 from tidewatch.functions import rules, text
 from tidewatch.operators import actions, drift, playbook, usage
-from tidewatch.session import scratch_path
+from tidewatch.session import scratch_path, stage
 from tidewatch.sources.tables import table
 from tidewatch.streaming import streams
 
@@ -112,10 +112,10 @@ def stream_action_tail(spark, folder):
 @query("stream_drift_batches")
 def stream_drift_batches(spark, folder):
     """Customer batches checked for drift as they arrive: the book as it is, then shifted."""
-    book, source, path = crm(spark, folder), scratch_path(spark, "books"), scratch_path(spark, "drift")
+    book, source, path = stage(crm(spark, folder), "book"), scratch_path(spark, "books"), scratch_path(spark, "drift")
     profile = drift.build_profile(book, CRM_CATEGORICAL, CRM_NUMERIC)
     importances = spark.createDataFrame(list(_IMPORTANCE.items()), "feature string, importance double")
-    for rows in (book, shifted_crm(spark, folder).select(*book.columns)):
+    for rows in (book, shifted(book).select(*book.columns)):
         rows.repartition(1).write.mode("append").parquet(source)
     arriving = streams.folder_stream(spark, source, spark.read.parquet(source).schema)
     step = streams.drift_check(profile, importances, CRM_CATEGORICAL, CRM_NUMERIC)

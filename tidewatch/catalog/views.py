@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.rules import PRICES
 from tidewatch.operators.snapshots import snapshots
-from tidewatch.sources.tables import table, transactions
+from tidewatch.sources.tables import table, texts, transactions
 
 HOME = "NATION_7"
 
@@ -149,7 +149,7 @@ COMPLAINTS = """cases AS (
 
 def complaints(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as complaints: language is the product, source the issue."""
-    return table(spark, folder, "documents", "doc_id", "lang", "source", "text").select(
+    return texts(spark, folder, "documents", "doc_id", "lang", "source", "text").select(
         F.col("doc_id").alias("complaint_id"), F.col("lang").alias("product"),
         F.col("source").alias("issue"), F.col("text").alias("narrative"))
 

@@ -24,23 +24,23 @@ def term_counts(df: DataFrame, key: str, text: str, stop_words: list[str] | None
 
 
 def vocabulary(counts: DataFrame, documents: int, min_df: int = MIN_DF, max_terms: int = MAX_TERMS) -> DataFrame:
-    """(term, df, idf) of the most frequent ``max_terms`` terms (ties: alphabetical)."""
+    """(term, term_id, df, idf) of the most frequent ``max_terms`` terms (ties: alphabetical)."""
     terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(
         F.col("df") >= min_df)
     ranked = running(terms.withColumn("_down", -F.col("total")).withColumn("_all", F.lit(0)),
                      ["_all"], ["_down", "term"], {"place": F.lit(1)}, name="vocabulary")
     kept = ranked.filter(F.col("place") < max_terms)
     idf = F.ln(F.lit(float(1 + documents)) / (1 + F.col("df"))) + 1
-    return kept.select("term", "df", idf.alias("idf"))
+    return kept.select("term", F.col("place").cast("int").alias("term_id"), "df", idf.alias("idf"))
 
 
 def weights(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """(key, term, weight), unit length per key.  A frequent term is one row here, so the join never
+    """(key, term, term_id, weight), unit length per key.  A frequent term is one row here, so the join never
     multiplies; its rows on the counts side are spread by adaptive skew handling."""
-    raw = counts.join(vocab.select("term", "idf"), "term").select(
-        key, "term", ((F.ln(F.col("tf")) + 1) * F.col("idf")).alias("raw"))
+    raw = counts.join(vocab.select("term", "term_id", "idf"), "term").select(
+        key, "term", "term_id", ((F.ln(F.col("tf")) + 1) * F.col("idf")).alias("raw"))
     norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    return raw.join(norms, key).select(key, "term", "term_id", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
 def tfidf(corpus: DataFrame, queries: DataFrame | None, key: str, text: str,
@@ -49,7 +49,7 @@ def tfidf(corpus: DataFrame, queries: DataFrame | None, key: str, text: str,
     """Weights of the corpus, and of the queries under the corpus' vocabulary."""
     documents = corpus.count()
     counts = stage(term_counts(corpus, key, text, stop_words), "term-counts")
-    vocab = vocabulary(counts, documents, min_df, max_terms)
+    vocab = stage(vocabulary(counts, documents, min_df, max_terms), "vocabulary-idf")
     own = weights(counts, vocab, key)
     if queries is None:
         return own, None
@@ -57,7 +57,7 @@ def tfidf(corpus: DataFrame, queries: DataFrame | None, key: str, text: str,
 
 
 def packed(weighted: DataFrame, key: str) -> DataFrame:
-    """(key, terms, weights): one sparse vector per document, sized by the document's own vocabulary."""
-    entry = F.struct("term", "weight")
-    return weighted.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("e")).select(
-        key, F.col("e.term").alias("terms"), F.col("e.weight").alias("weights"))
+    """(key, terms, weights): one sparse vector of term ids per document, sized by its own vocabulary."""
+    entry = F.struct("term_id", "weight")
+    return weighted.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("e")).select(
+        key, F.col("e.term_id").alias("terms"), F.col("e.weight").alias("weights"))
