@@ -49,8 +49,9 @@ def mark_first(df: DataFrame, key: str, seed: int | str, size: Column, flag: str
     by = by or []
     eligible = df if where is None else df.filter(where)
     cutoff = hash_cutoff(eligible, key, seed, size, by)
-    # without groups the cutoff is one value: an uncorrelated scalar subquery, no join at all
-    limit = F.col("_cutoff") if by else cutoff.agg(F.max("_cutoff")).scalar()
+    # Without groups the cutoff is one hash.  It is fetched once (eager), so every later use of the marked
+    # rows is a plain comparison in the scan instead of another pass for the same value.
+    limit = F.col("_cutoff") if by else F.lit(cutoff.agg(F.max("_cutoff")).first()[0])
     chosen = F.coalesce(shuffle_key(key, seed) <= limit, F.lit(False))
     if where is not None:
         chosen = chosen & F.coalesce(where, F.lit(False))
