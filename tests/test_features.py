@@ -236,3 +236,11 @@ def test_request_validation(spark):
     rows = records.from_records(spark, [good, {k: v for k, v in good.items() if k != "Contract"}])
     checked = records.validate(rows, records.crm_rules()).collect()
     assert [r["rejected"] for r in checked] == [[], ["Contract required"]]
+
+
+def test_labels_must_be_complete(spark):
+    rows = spark.createDataFrame([(1,), (2,)], "id bigint")
+    labels = spark.createDataFrame([(1, True), (2, False)], "id bigint, churned boolean")
+    assert records.pair_labels(rows, labels, "id").count() == 2
+    with pytest.raises(ValueError, match="one label per row"):
+        records.pair_labels(rows, labels.limit(1), "id")

@@ -9,6 +9,7 @@ from tidewatch.catalog.views import (EVENTS, INCOMING, SCORED, complaints, incom
                                      scored_crm, usage_events)
 from tidewatch.functions import rules, text
 from tidewatch.operators import actions, playbook, quota, routing, telemetry, usage
+from tidewatch.operators.cleaning import label_from
 from tidewatch.session import scratch_path
 from tidewatch.sources import records
 from tidewatch.sources.tables import table, texts
@@ -486,3 +487,11 @@ def reserved_events(spark, folder):
     asked = incoming(spark, folder)
     row = usage.event_row(text.pseudonym("conv_id", "pepper"), F.col("text"), 0.05)
     return asked.select("conv_id", "turn", *row).withColumn("usd", F.col("usd").cast("double"))
+
+
+@query("paired_labels", """SELECT o_orderkey, o_totalprice, CAST(o_orderstatus = 'F' AS INTEGER) AS label FROM orders""")
+def paired_labels(spark, folder):
+    """Rows and their separately delivered labels, paired by key with a completeness check."""
+    orders = table(spark, folder, "orders", "o_orderkey", "o_totalprice", "o_orderstatus")
+    labels = orders.select("o_orderkey", label_from("o_orderstatus", "F").alias("label"))
+    return records.pair_labels(orders.drop("o_orderstatus"), labels, "o_orderkey")

@@ -84,7 +84,7 @@ def top_precision(df: DataFrame, label: str, score: str, key: str, fraction: flo
     border = at.filter((F.col("above") < F.col("top_n")) & (F.col("top_n") <= F.col("above") + F.col("n")))
     border = border.select(*by, F.col(score).alias("_cut"), "top_n", "pos_above",
                            (F.col("top_n") - F.col("above")).alias("_need"))
-    # border: one row per group
+    # border: one row per group of ``by`` (a model, a month, a segment)
     if by:
         ties = df.join(F.broadcast(border), by).filter(F.col(score) == F.col("_cut"))
     else:
@@ -96,7 +96,7 @@ def top_precision(df: DataFrame, label: str, score: str, key: str, fraction: flo
     before = Window.partitionBy(*by).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(*by, "_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy(*by, "_prefix").orderBy("_hash"))
-    taken = ties.join(F.broadcast(per), [*by, "_prefix"]).withColumn("_rank", rank + F.col("_before")).filter(
+    taken = ties.join(per, [*by, "_prefix"]).withColumn("_rank", rank + F.col("_before")).filter(
         F.col("_rank") <= F.col("_need"))
     hits = taken.groupBy(*by).agg(F.count_if(F.col(label) == 1).alias("_hits"))
     total = (F.col("pos_above") + F.col("_hits")) / F.col("top_n")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import tokens
@@ -12,6 +12,7 @@ from tidewatch.session import stage
 
 MIN_DF = 2
 MAX_TERMS = 100_000
+BROADCAST_TERMS = 250_000      # largest vocabulary that is broadcast (some ten MB)
 
 
 def term_counts(df: DataFrame, key: str, text: str, stop_words: list[str] | None = None) -> DataFrame:
@@ -34,13 +35,18 @@ def vocabulary(counts: DataFrame, documents: int, min_df: int = MIN_DF, max_term
     return kept.select("term", F.col("place").cast("int").alias("term_id"), "df", idf.alias("idf"))
 
 
-def weights(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """(key, term, term_id, weight), unit length per key.  A frequent term is one row here, so the join never
-    multiplies; its rows on the counts side are spread by adaptive skew handling."""
-    raw = counts.join(vocab.select("term", "term_id", "idf"), "term").select(
+def weights(counts: DataFrame, vocab: DataFrame, key: str, small: bool = True) -> DataFrame:
+    """(key, term, term_id, weight), unit length per key.
+
+    ``small`` says the vocabulary is capped, so it is broadcast and the counts are only shuffled by key,
+    once, for the norms; a key's group is at most its share of the vocabulary.  Without a cap the join is a
+    plain equi join (one row per term on one side, the other open to skew splitting).
+    """
+    known = vocab.select("term", "term_id", "idf")
+    raw = counts.join(F.broadcast(known) if small else known, "term").select(
         key, "term", "term_id", ((F.ln(F.col("tf")) + 1) * F.col("idf")).alias("raw"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", "term_id", (F.col("raw") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", "term_id", (F.col("raw") / norm).alias("weight"))
 
 
 def tfidf(corpus: DataFrame, queries: DataFrame | None, key: str, text: str,
@@ -50,10 +56,11 @@ def tfidf(corpus: DataFrame, queries: DataFrame | None, key: str, text: str,
     documents = corpus.count()
     counts = stage(term_counts(corpus, key, text, stop_words), "term-counts")
     vocab = stage(vocabulary(counts, documents, min_df, max_terms), "vocabulary-idf")
-    own = weights(counts, vocab, key)
+    small = max_terms <= BROADCAST_TERMS
+    own = weights(counts, vocab, key, small)
     if queries is None:
         return own, None
-    return own, weights(term_counts(queries, key, text, stop_words), vocab, key)
+    return own, weights(term_counts(queries, key, text, stop_words), vocab, key, small)
 
 
 def packed(weighted: DataFrame, key: str) -> DataFrame:

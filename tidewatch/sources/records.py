@@ -106,6 +106,15 @@ def key_checks(df: DataFrame, key: list[str], required: list[str]) -> DataFrame:
         F.sum(sum((F.col(f"_null_{i}") for i in range(len(required))), F.lit(0))).alias("nulls"))
 
 
+def pair_labels(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """Rows with their labels by key; an error when a row lacks a label or the counts differ."""
+    joined = rows.join(labels.withColumn("_there", F.lit(1)), key, "left")
+    n, found = joined.agg(F.count(F.lit(1)), F.count("_there")).first()
+    if not n == found == labels.count():
+        raise ValueError(f"need one label per row: {n} rows, {found} of them labelled")
+    return joined.drop("_there")
+
+
 # ------------------------------------------------------------------ loads and copies
 
 def refresh(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
