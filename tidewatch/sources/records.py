@@ -140,11 +140,10 @@ def copy_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     """Copy, read back and reconcile: one row with both counts and whether the contents agree."""
     refresh(df, path, partition_by)
     back = df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
-    there = fingerprint(back).select(F.col("rows").alias("copied_rows"), F.col("checksum").alias("copied"))
-    here = fingerprint(df).select(F.col("rows").alias("source_rows"), F.col("checksum").alias("source"))
-    one = F.lit(1).alias("_one")
-    both = here.select("*", one).join(there.select("*", one), "_one")
-    return both.select("source_rows", "copied_rows", (F.col("source") == F.col("copied")).alias("same_content"))
+    there = fingerprint(back).select(F.struct("rows", "checksum")).scalar()
+    return fingerprint(df).withColumn("there", there).select(
+        F.col("rows").alias("source_rows"), F.col("there.rows").alias("copied_rows"),
+        (F.col("checksum") == F.col("there.checksum")).alias("same_content"))
 
 
 def write_report(df: DataFrame, path: str) -> None:
