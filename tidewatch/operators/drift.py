@@ -6,7 +6,7 @@ afterwards has one row per feature, category or bin.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.ordering import exact_quantiles, running
@@ -42,6 +42,12 @@ def _frequencies(counts: DataFrame, item: str) -> DataFrame:
         "feature", item, (F.col("n") / F.greatest(F.col("total"), F.lit(1))).alias("freq"))
 
 
+def bin_frequencies(bins: DataFrame) -> DataFrame:
+    """Shares per feature; a feature has ten bins at most, so a window over them is small."""
+    total = F.sum("n").over(Window.partitionBy("feature"))
+    return bins.select("feature", "bin", (F.col("n") / F.greatest(total, F.lit(1))).alias("freq"))
+
+
 def bin_of(value: Column, edges: Column) -> Column:
     """Bin of a value; the outer bins are open and a value on an inner edge belongs to the right bin."""
     inner = F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))
@@ -80,7 +86,7 @@ def build_profile(df: DataFrame, categorical: list[str], numeric: list[str],
         else:
             counts, quantiles = exact_quantiles(values, "feature", "value", DECILES)
         edges = quantiles.select("feature", F.array_distinct("quantiles").alias("edges"))
-        bins = _frequencies(bin_counts(counts, edges), "bin")
+        bins = bin_frequencies(bin_counts(counts, edges))
         parts.append(edges.join(bins, "feature", "left").select(
             "feature", F.lit("numeric").alias("kind"), F.lit(None).cast("string").alias("category"),
             F.col("bin").cast("int").alias("bin"), "edges", "freq"))
@@ -109,7 +115,7 @@ def paired_frequencies(profile: DataFrame, current: DataFrame, categorical: list
         edges = ref.groupBy("feature").agg(F.first("edges").alias("edges"))
         # bins first, totals later: the shuffle carries one row per (feature, bin) and map task
         values = _long(current, numeric, "double").filter(F.col("value").isNotNull()).withColumn("n", F.lit(1))
-        cur = _frequencies(bin_counts(values, edges), "bin").withColumnRenamed("freq", "cur")
+        cur = bin_frequencies(bin_counts(values, edges)).withColumnRenamed("freq", "cur")
         parts.append(ref.select("feature", "bin", F.col("freq").alias("ref")).join(
             cur, ["feature", "bin"], "left").select("feature", F.lit("numeric").alias("kind"), "ref", "cur"))
     out = parts[0]
