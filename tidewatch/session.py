@@ -1,8 +1,8 @@
-"""Session settings and the shared scratch folder.
+"""Session settings, the shared scratch folder, and the package on the workers.
 
 Intermediate tables (range-positioned rows, replay state, streaming change logs) are written below the
-folder that ``spark.checkpoint.dir`` names, so they outlive any executor.  Only when the cluster names
-none (unit tests on one machine) is a folder of our own chosen.
+folder that ``spark.checkpoint.dir`` names, so they outlive any executor.  Only in a single-process
+session whose settings name none (unit tests) is a folder of our own chosen.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +22,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Python stages receive whole list columns; keep Arrow batches small enough for wide vectors
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    # and for long texts
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
+_shipped: set[str] = set()
 
 
 def local_session(cpus: str = "*", app: str = "tidewatch", memory: str = "20g") -> SparkSession:
@@ -43,13 +48,29 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Pin the runtime settings the operators rely on (UTC above all)."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, which import the functions of Python stages by name."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="tidewatch-"), "tidewatch.zip")     # read by this process only
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), f"tidewatch-{spark.sparkContext.applicationId}")
     return root.rstrip("/")
