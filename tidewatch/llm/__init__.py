@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SUBJECTS = ["pieces"]
+SUBJECTS = ["pieces", "near_copies", "repeats"]
 
 
 def load():
