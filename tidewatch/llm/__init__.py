@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SUBJECTS = ["token_file", "pieces", "near_copies", "repeats"]
+SUBJECTS = ["token_file", "language", "pieces", "near_copies", "repeats"]
 
 
 def load():
