@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SUBJECTS = ["token_file", "language", "pieces", "near_copies", "repeats"]
+SUBJECTS = ["token_file", "decontaminate", "language", "search", "shards", "pieces", "secrets", "chat", "near_copies",
+            "repeats"]
 
 
 def load():

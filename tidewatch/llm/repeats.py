@@ -320,9 +320,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, add: tuple[str, ...] = tu
     kept = without(docs, *add)
     found = repeated_spans(docs, length)
     found = F.broadcast(found) if _few(found, F.size("spans")) else found
-    raw = utf8().alias("_raw")
-    source = docs.select(*[docs[c] for c in kept.columns], raw, _name(raw).alias("_name"))
-    joined = source.join(found.select(F.col("name").alias("_name"), F.col("spans").alias("_spans")), "_name", "left")
+    raw = utf8().alias("__tw_raw")
+    source = docs.select(*[docs[c] for c in kept.columns], raw, _name(raw).alias("__tw_name"))
+    joined = source.join(found.select(F.col("name").alias("__tw_name"), F.col("spans").alias("__tw_spans")), "__tw_name", "left")
     schema = extended(kept.schema, **{c: ADDED[c] for c in add})
     columns = len(kept.columns)
 
@@ -342,7 +342,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, add: tuple[str, ...] = tu
                 [*batch.columns[:columns], *[pa.array(made[c], kinds.get(c, pa.int64())) for c in add]],
                 names=schema.names)
 
-    return joined.select(*kept.columns, "_raw", "_spans").mapInArrow(run, schema)
+    return joined.select(*kept.columns, "__tw_raw", "__tw_spans").mapInArrow(run, schema)
 
 
 @query("op10_repeats")
