@@ -25,6 +25,8 @@ SETTINGS = {
     # and for long texts
     "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
+# shuffle files of a query that has been written out are of no more use
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _shipped: set[str] = set()
 
 
@@ -87,5 +89,10 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
