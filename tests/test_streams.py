@@ -6,6 +6,9 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from compare import rows_of
+
 from tidewatch.operators import quota
 from tidewatch.session import scratch_path
 from tidewatch.streaming import streams
@@ -52,3 +55,43 @@ def test_restart_does_not_repeat_batches(spark, log):
     for _ in range(2):
         streams.run_available(streams.per_batch(streams.folder_stream(spark, path, DDL), out))
     assert streams.batches(spark, out, DDL).count() == 120
+
+
+STREAMS = ["stream_daily_usage", "stream_monthly_usage", "stream_sliding_hour", "stream_telemetry", "stream_routing",
+           "stream_event_state", "stream_retention", "stream_quota"]
+
+
+@pytest.fixture(scope="module")
+def parted(spark, folder, tmp_path_factory):
+    """The streamed tables as folders of three files each, the newest rows first."""
+    path = str(tmp_path_factory.mktemp("parted"))
+    for name, order in (("events", "ts"), ("conversations", "conv_id"), ("customer", "c_custkey")):
+        rows = spark.read.parquet(f"{folder}/{name}.parquet")
+        cuts = [-1e18, *rows.select(F.unix_millis(F.col(order).cast("timestamp")).cast("double").alias("x") if order == "ts"
+                                    else F.col(order).cast("double").alias("x")).approxQuantile("x", [0.33, 0.66], 0), 1e18]
+        at = F.unix_millis(F.col(order).cast("timestamp")).cast("double") if order == "ts" else F.col(order).cast("double")
+        for low, high in reversed(list(zip(cuts, cuts[1:]))):
+            rows.filter((at > low) & (at <= high)).coalesce(1).write.mode("append").parquet(f"{path}/{name}.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_folder_tables_in_any_order(spark, folder, parted, monkeypatch, name):
+    query = entry.queries()[name]
+    whole = rows_of(query(spark, folder).columns, query(spark, folder).collect())
+    monkeypatch.setattr(streams, "FILES_PER_BATCH", 1)
+    got = query(spark, parted)
+    assert rows_of(got.columns, got.collect()) == whole and whole
+
+
+def test_late_rows_are_reported(spark, tmp_path):
+    start = dt.datetime(2024, 3, 30, 20, 0)
+    for day in (9, 5, 0):
+        spark.createDataFrame([(day, start + dt.timedelta(days=day), 1, "answered", Decimal("0.03"))], DDL).coalesce(
+            1).write.mode("append").parquet(f"{tmp_path}/log")
+    def writer():
+        df = streams.daily_usage(streams.folder_stream(spark, f"{tmp_path}/log", DDL), "1 day")
+        return streams.per_batch(df, scratch_path(spark, "late"), mode="update")
+    assert streams.run_available(writer(), late="count") >= 1
+    with pytest.raises(streams.LateRows):
+        streams.run_available(writer())

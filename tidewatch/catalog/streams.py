@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tidewatch.catalog.base import query
 from tidewatch.catalog.features import _IMPORTANCE, shifted
 from tidewatch.catalog.operations import LIMITS, _changes
-from tidewatch.catalog.views import (CRM_CATEGORICAL, CRM_NUMERIC, EVENTS, INCOMING, crm, with_rule_category)
+from tidewatch.catalog.views import (CRM_CATEGORICAL, CRM_NUMERIC, EVENTS, INCOMING, RISK, crm, risk,
+                                     with_rule_category)
 from tidewatch.functions import rules, text
 from tidewatch.operators import actions, drift, playbook, usage
 from tidewatch.session import scratch_path, stage
@@ -15,8 +16,8 @@ from tidewatch.sources.tables import table
 from tidewatch.streaming import streams
 
 
-def _events(spark, folder):
-    raw = streams.table_stream(spark, folder, "events")
+def _events(spark, folder, bounded=True):
+    raw = streams.table_stream(spark, folder, "events", bounded)
     usd = (F.rint(F.col("value") * 100).cast("bigint") / F.lit(10000.0)).cast("decimal(10,5)")
     return raw.select(
         F.col("event_id").alias("id"), F.col("ts").alias("at"), F.col("user_id").alias("visitor"),
@@ -24,6 +25,12 @@ def _events(spark, folder):
         "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
+def _backfill(spark, folder):
+    """Lateness under which a table whose files come in any order loses no row: the time it spans."""
+    days = table(spark, folder, "events", "ts").agg(F.datediff(F.max("ts"), F.min("ts"))).first()[0]
+    return f"{(days or 0) + 2} days"
+
+
 def _updated(spark, df, name, keys):
     path = scratch_path(spark, name)
     streams.run_available(streams.per_batch(df, path, mode="update"))
@@ -34,14 +41,14 @@ def _updated(spark, df, name, keys):
 count(*) AS questions, CAST(sum(usd) AS DOUBLE) AS usd FROM ev WHERE outcome <> 'failed' GROUP BY 1, 2""")
 def stream_daily_usage(spark, folder):
     """Questions and dollars per day and visitor from the event stream."""
-    out = _updated(spark, streams.daily_usage(_events(spark, folder)), "daily", ["window_start", "visitor"])
+    out = _updated(spark, streams.daily_usage(_events(spark, folder), _backfill(spark, folder)), "daily", ["window_start", "visitor"])
     return out.withColumn("usd", F.col("usd").cast("double"))
 
 
 @query("stream_monthly_usage", f"""WITH {EVENTS} SELECT CAST(date_trunc('month', "at") AS TIMESTAMP) AS month,
 count(*) AS questions, CAST(sum(usd) AS DOUBLE) AS usd FROM ev WHERE outcome <> 'failed' GROUP BY 1""")
 def stream_monthly_usage(spark, folder):
-    out = _updated(spark, streams.monthly_usage(_events(spark, folder)), "monthly", ["month"])
+    out = _updated(spark, streams.monthly_usage(_events(spark, folder), _backfill(spark, folder)), "monthly", ["month"])
     return out.withColumn("usd", F.col("usd").cast("double"))
 
 
@@ -51,14 +58,16 @@ def stream_monthly_usage(spark, folder):
 SELECT window_start, visitor, count(*) AS questions FROM s GROUP BY 1, 2""")
 def stream_sliding_hour(spark, folder):
     """Questions per visitor in every sliding hour."""
-    return _updated(spark, streams.sliding_hour(_events(spark, folder)), "hour", ["window_start", "visitor"])
+    return _updated(spark, streams.sliding_hour(_events(spark, folder), _backfill(spark, folder)), "hour",
+                    ["window_start", "visitor"])
 
 
 @query("stream_telemetry", f"""WITH {EVENTS} SELECT CAST(date_trunc('minute', "at") AS TIMESTAMP) AS window_start, event_type,
 count(*) AS requests, round(sum(value), 4) AS total, max(value) AS largest FROM ev GROUP BY 1, 2""")
 def stream_telemetry(spark, folder):
     """Requests and latency per minute and route."""
-    out = _updated(spark, streams.route_telemetry(_events(spark, folder), "at", "event_type", "value"),
+    out = _updated(spark, streams.route_telemetry(_events(spark, folder), "at", "event_type", "value",
+                                                  lateness=_backfill(spark, folder)),
                    "telemetry", ["window_start", "event_type"])
     return out.withColumn("total", F.round("total", 4))
 
@@ -115,32 +124,32 @@ def stream_drift_batches(spark, folder):
     book, source, path = stage(crm(spark, folder), "book"), scratch_path(spark, "books"), scratch_path(spark, "drift")
     profile = drift.build_profile(book, CRM_CATEGORICAL, CRM_NUMERIC)
     importances = spark.createDataFrame(list(_IMPORTANCE.items()), "feature string, importance double")
-    for rows in (book, shifted(book).select(*book.columns)):
-        rows.repartition(1).write.mode("append").parquet(source)
-    arriving = streams.folder_stream(spark, source, spark.read.parquet(source).schema)
     step = streams.drift_check(profile, importances, CRM_CATEGORICAL, CRM_NUMERIC)
-    streams.run_available(streams.per_batch(arriving, path, step))
+    for rows in (book, shifted(book).select(*book.columns)):
+        rows.write.mode("append").parquet(source)
+        arriving = streams.folder_stream(spark, source, book.schema, None)
+        streams.run_available(streams.per_batch(arriving, path, step))
     return streams.batches(spark, path, streams.DRIFT_ROW).drop(streams.BATCH)
 
 
 @query("stream_quota")
 def stream_quota(spark, folder):
-    """Quota decisions on the arriving events."""
+    """Quota decisions on the arriving events.  They depend on the order of arrival, so all that is there is taken
+    as having arrived at once and is decided in the order of its times."""
     path = scratch_path(spark, "quota")
-    streams.run_available(streams.per_batch(_events(spark, folder), path, streams.admit(path, LIMITS)))
+    streams.run_available(streams.per_batch(_events(spark, folder, False), path, streams.admit(path, LIMITS)))
     return streams.batches(spark, path, "id bigint, admitted boolean, reason string").drop(streams.BATCH)
 
 
-@query("stream_retention", """WITH c AS (SELECT c_custkey, c_mktsegment,
-  round(greatest(least((9999 - c_acctbal) / 11000.0::DOUBLE, 1.0), 0.0), 4) AS p FROM customer)
+@query("stream_retention", f"""WITH c AS (SELECT c_custkey, c_mktsegment,
+  {RISK.format("c_acctbal")} AS p FROM customer)
 SELECT CASE WHEN p >= 0.6 THEN 'retention_call' ELSE 'retention_email' END AS action,
   CASE WHEN c_mktsegment = 'BUILDING' THEN '15% off for switching to a 1-year contract'
     ELSE 'loyalty check-in, no discount' END AS offer, count(*) AS customers FROM c WHERE p >= 0.35 GROUP BY 1, 2""")
 def stream_retention(spark, folder):
     """Scheduled scoring run: customers that arrived are scored, tiered and logged as actions."""
     arriving = streams.table_stream(spark, folder, "customer")
-    p = F.greatest(F.least((F.lit(9999) - F.col("c_acctbal")) / F.lit(11000.0), F.lit(1.0)), F.lit(0.0))
-    scored = arriving.withColumn("churn_probability", F.round(p, 4)).withColumn(
+    scored = arriving.withColumn("churn_probability", risk("c_acctbal")).withColumn(
         "tier", rules.risk_tier("churn_probability"))
     play = scored.withColumn("action", rules.tier_action("tier")).withColumn("offer", rules.retention_offer(
         "tier", F.col("c_mktsegment") == "BUILDING", F.lit(False), F.lit(False)))

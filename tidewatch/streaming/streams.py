@@ -7,6 +7,7 @@ newest row per key of such a change log is the table a reader sees (``newest``).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,20 +20,31 @@ from tidewatch.operators.actions import ACTION
 from tidewatch.operators.usage import HOUR, counted, month_of
 
 BATCH = "batch"
+FILES_PER_BATCH = 64        # of a backfill; a running stream sees few new files at a time
+
+
+class LateRows(RuntimeError):
+    """Rows came later than the stated lateness allows, so the result lacks them."""
 
 
 # ------------------------------------------------------------------ sources and sinks
 
-def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """A warehouse table (one file or a growing folder of files) as a stream."""
-    reader = spark.readStream.schema(spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet").schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+def table_stream(spark: SparkSession, folder: str, name: str, bounded: bool = True) -> DataFrame:
+    """A warehouse table, one file or a growing folder of files, as a stream.
+
+    A pattern that only the table's own name fits is taken for a file as well as for a folder.  Unless
+    ``bounded`` is off, a micro-batch has at most ``FILES_PER_BATCH`` files.
+    """
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if bounded:
+        reader = reader.option("maxFilesPerTrigger", FILES_PER_BATCH)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def folder_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def folder_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = 1) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
 def action_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -40,10 +52,6 @@ def action_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(ACTION).json(path)
 
 
-def complaint_stream(spark: SparkSession, path: str, schema: str = "customer_id string, text string") -> DataFrame:
-    return spark.readStream.schema(schema).json(path)
-
-
 def per_batch(stream: DataFrame, path: str, step: Callable[[DataFrame, int], DataFrame] | None = None,
               mode: str = "append") -> DataStreamWriter:
     """Write every micro-batch (after ``step``) to its own folder below ``path``."""
@@ -55,9 +63,18 @@ def per_batch(stream: DataFrame, path: str, step: Callable[[DataFrame, int], Dat
     return stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/_progress").foreachBatch(write)
 
 
-def run_available(writer: DataStreamWriter) -> None:
-    """Process everything there is, then stop."""
-    writer.trigger(availableNow=True).start().awaitTermination()
+def run_available(writer: DataStreamWriter, late: str = "raise") -> int:
+    """Process everything there is, then stop; the number of rows that were too late to count.
+
+    Such rows are missing from the result, so they are an error unless ``late`` is "count".
+    """
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    dropped = sum(operator["numRowsDroppedByWatermark"] for progress in query.recentProgress
+                  for operator in json.loads(progress.json)["stateOperators"])
+    if dropped and late == "raise":
+        raise LateRows(f"{dropped} rows were later than the lateness allows")
+    return dropped
 
 
 def batches(spark: SparkSession, path: str, schema, before: int | None = None) -> DataFrame:
