@@ -18,13 +18,14 @@ _PART = "_part"
 
 
 def positioned(df: DataFrame, order: list[str | Column], name: str = "ordered") -> DataFrame:
-    """``df`` in global order, with the row's place encoded as (partition << 33) + row.
+    """``df`` in global order, with the number of its partition and a number that ascends inside it.
 
     The result is written out, so the partition border of a row is the same for every later reader.
     ``order`` should be (nearly) unique: equal keys cannot be told apart by a range partitioner.
     """
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    return stage(ordered.withColumn(POSITION, F.monotonically_increasing_id()), name)
+    return stage(ordered.withColumn(_PART, F.spark_partition_id()).withColumn(
+        POSITION, F.monotonically_increasing_id()), name)
 
 
 def running(df: DataFrame, keys: list[str], order: list[str | Column], sums: dict[str, Column],
@@ -35,8 +36,7 @@ def running(df: DataFrame, keys: list[str], order: list[str | Column], sums: dic
 
 def running_over(placed: DataFrame, keys: list[str], sums: dict[str, Column], inclusive: bool = False) -> DataFrame:
     """``running`` over rows already ``positioned`` by (keys, order)."""
-    columns = [c for c in placed.columns if c != POSITION]
-    placed = placed.withColumn(_PART, F.shiftright(F.col(POSITION), 33))
+    columns = [c for c in placed.columns if c not in (POSITION, _PART)]
     group = [*keys, _PART]
     totals = placed.groupBy(*group).agg(*[F.sum(e).alias(f"_t_{n}") for n, e in sums.items()])
     # (key, partition) pairs: one per key plus one per border crossed, so a key has few rows here
