@@ -283,15 +283,42 @@ SELECT string_agg(feature, ',' ORDER BY psi DESC, feature) FILTER (WHERE psi > 0
   round(coalesce(sum(importance) FILTER (WHERE psi > 0.2), 0.0), 4) AS drifted_importance_mass,
   coalesce(sum(importance) FILTER (WHERE psi > 0.2), 0.0) > 0.3 AS importance_drift_trigger,
   FALSE AS performance_trigger,
-  coalesce(sum(importance) FILTER (WHERE psi > 0.2), 0.0) > 0.3 AS retrain_recommended
+  coalesce(sum(importance) FILTER (WHERE psi > 0.2), 0.0) > 0.3 AS retrain_recommended,
+  array_to_string((list(feature ORDER BY round(psi, 4) DESC, feature))[1:5], ',') AS top_features
 FROM psi LEFT JOIN imp USING (feature)""")
 def drift_verdict(spark, folder):
-    """Drifted features, importance mass and the retrain decision under the 'both' scenario."""
+    """Drifted features, importance mass and the retrain decision under the 'both' scenario, without labels."""
+    return _verdict(spark, _psi(spark, folder, shifted))
+
+
+def _verdict(spark, psi, *aucs):
     importances = spark.createDataFrame(list(_IMPORTANCE.items()), "feature string, importance double")
-    verdict = drift.drift_verdict(_psi(spark, folder, shifted), importances)
+    verdict = drift.drift_verdict(psi, importances, None, *aucs)
     return verdict.select(F.array_join("drifted_features", ",").alias("drifted_features"),
                           "drifted_importance_mass", "importance_drift_trigger", "performance_trigger",
-                          "retrain_recommended")
+                          "retrain_recommended",
+                          F.array_join(F.slice(F.map_keys("feature_psi"), 1, 5), ",").alias("top_features"))
+
+
+_AREA = """(SELECT sum(pos * (below + neg / 2.0::DOUBLE)) / (sum(pos)::DOUBLE * sum(neg)::DOUBLE) FROM (
+  SELECT *, sum(neg) OVER (ORDER BY p) - neg AS below FROM (SELECT churn_probability AS p,
+    count(*) FILTER (WHERE {0}) AS pos, count(*) FILTER (WHERE NOT ({0})) AS neg FROM scored GROUP BY 1)))"""
+
+
+@query("drift_verdict_performance", f"""{_psi_sql(CRM + ", cur AS (SELECT * FROM crm)")},
+{SCORED[len(CRM) + 1:].strip()},
+area AS (SELECT {_AREA.format("churned = 1")} AS now, {_AREA.format("balance < 3000")} AS before)
+SELECT '' AS drifted_features, 0.0::DOUBLE AS drifted_importance_mass, FALSE AS importance_drift_trigger,
+  before - now > 0.03 AS performance_trigger, before - now > 0.03 AS retrain_recommended,
+  (SELECT array_to_string((list(feature ORDER BY round(psi, 4) DESC, feature))[1:5], ',') FROM psi) AS top_features
+FROM area""")
+def drift_verdict_performance(spark, folder):
+    """The verdict on an unmoved book whose scores no longer fit its labels: the scores order by balance, which the
+    reference labels follow and the current ones do not."""
+    scored = stage(scored_crm(spark, folder), "scored")
+    then = metrics.roc_auc(scored.withColumn("y", (F.col("balance") < 3000).cast("int")), "y", "churn_probability")
+    now = metrics.roc_auc(scored, "churned", "churn_probability")
+    return _verdict(spark, _psi(spark, folder), now.select("roc_auc").scalar(), then.select("roc_auc").scalar())
 
 
 _DISTANCE = f"""WITH {_SHIFTED}, {_CAT},
@@ -336,7 +363,7 @@ def drift_share_naive(spark, folder):
 
 # ------------------------------------------------------------------ metrics
 
-_JUDGED = """judged AS (SELECT doc_id, quality AS y, least(n_chars, 5000) / 5000.0::DOUBLE AS p
+_JUDGED = """judged AS (SELECT doc_id, quality AS y, n_chars / (n_chars + 2000.0::DOUBLE) AS p
 FROM labels JOIN documents USING (doc_id))"""
 
 
@@ -345,7 +372,7 @@ def _judged(spark, folder):
     labels = table(spark, folder, "labels", "doc_id", "quality")
     docs = table(spark, folder, "documents", "doc_id", "n_chars")
     return labels.join(docs, "doc_id").select(
-        "doc_id", F.col("quality").alias("y"), (F.least("n_chars", F.lit(5000)) / F.lit(5000.0)).alias("p"))
+        "doc_id", F.col("quality").alias("y"), (F.col("n_chars") / (F.col("n_chars") + F.lit(2000.0))).alias("p"))
 
 
 @query("auc_exact", f"""WITH {_JUDGED}, s AS (

@@ -134,15 +134,18 @@ def feature_psi(profile: DataFrame, current: DataFrame, categorical: list[str],
 
 
 def drift_verdict(psi: DataFrame, importances: DataFrame, n_rows: int | None = None,
-                  auc: float | None = None, reference_auc: float | None = None) -> DataFrame:
-    """One row: drifted features (largest first), importance mass on them, both triggers, the verdict.
+                  auc: float | Column | None = None, reference_auc: float | Column | None = None) -> DataFrame:
+    """One row: drifted features and all PSI values (largest first), importance mass on the drifted, both
+    triggers, the verdict.
 
-    Needs at least MIN_BATCH rows when ``n_rows`` is given.  ``psi`` has one row per feature.
+    Needs at least MIN_BATCH rows when ``n_rows`` is given.  ``psi`` has one row per feature.  The areas under
+    the curve may be numbers or scalar subqueries.
     """
     if n_rows is not None and n_rows < MIN_BATCH:
-        raise ValueError(f"need at least {MIN_BATCH} customers for a stable drift estimate, got {n_rows}")
-    drop = None if auc is None or reference_auc is None else reference_auc - auc
-    performance = drop is not None and drop > AUC_DROP_THRESHOLD
+        raise ValueError(f"{n_rows} rows are too few for a drift verdict, which takes {MIN_BATCH}")
+    now, then = (x if isinstance(x, Column) else F.lit(x).cast("double") for x in (auc, reference_auc))
+    drop = then - now
+    performance = F.coalesce(drop > AUC_DROP_THRESHOLD, F.lit(False))
     drifted = F.col("psi") > PSI_THRESHOLD
     scored = psi.join(F.broadcast(importances), "feature", "left")
     ordered = lambda arr: F.transform(F.array_sort(arr), lambda s: s["feature"])
@@ -157,9 +160,8 @@ def drift_verdict(psi: DataFrame, importances: DataFrame, n_rows: int | None = N
     return out.select(
         "drifted_features", "feature_psi", F.round("mass", 4).alias("drifted_importance_mass"),
         (F.col("mass") > MASS_THRESHOLD).alias("importance_drift_trigger"),
-        F.lit(auc).cast("double").alias("current_roc_auc"), F.lit(drop).cast("double").alias("roc_auc_drop"),
-        F.lit(performance).alias("performance_trigger"),
-        ((F.col("mass") > MASS_THRESHOLD) | F.lit(performance)).alias("retrain_recommended"))
+        now.alias("current_roc_auc"), drop.alias("roc_auc_drop"), performance.alias("performance_trigger"),
+        ((F.col("mass") > MASS_THRESHOLD) | performance).alias("retrain_recommended"))
 
 
 def column_distances(reference: DataFrame, current: DataFrame, categorical: list[str],
