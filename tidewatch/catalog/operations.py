@@ -12,7 +12,7 @@ from tidewatch.operators import actions, playbook, quota, routing, telemetry, us
 from tidewatch.operators.cleaning import label_from
 from tidewatch.session import scratch_path
 from tidewatch.sources import records
-from tidewatch.sources.tables import table, texts
+from tidewatch.sources.tables import table
 
 # ------------------------------------------------------------------ text
 
@@ -24,7 +24,7 @@ _MASK = r"regexp_replace({0}, '(^|[^\p{{L}}\p{{N}}_])th[\p{{L}}\p{{N}}_]*', '\1'
 @query("text_normalize", f"""SELECT doc_id,
 {_SQUEEZE.format("regexp_replace(lower(text), '[^a-z]', ' ', 'g')")} AS normalized FROM documents""")
 def text_normalize(spark, folder):
-    return texts(spark, folder, "documents", "doc_id", "text").select(
+    return table(spark, folder, "documents", "doc_id", "text").select(
         "doc_id", text.normalize("text").alias("normalized"))
 
 
@@ -35,7 +35,7 @@ _MASKED = (r"trim(regexp_replace(regexp_replace(" + _MASK.format("text")
 @query("mask_term", f"SELECT doc_id, {_MASKED} AS masked FROM documents")
 def mask_term(spark, folder):
     """Remove every word starting with a term."""
-    return texts(spark, folder, "documents", "doc_id", "text").select(
+    return table(spark, folder, "documents", "doc_id", "text").select(
         "doc_id", text.mask_term("text", _TERM).alias("masked"))
 
 
@@ -48,7 +48,7 @@ _DROPPED = "CASE WHEN len(s) <= 1 THEN '' ELSE " + _SQUEEZE.format(
 
 @query("drop_last_sentence", f"WITH {_SENTENCES} SELECT doc_id, {_DROPPED} AS kept FROM parts")
 def drop_last_sentence(spark, folder):
-    return texts(spark, folder, "documents", "doc_id", "text").select(
+    return table(spark, folder, "documents", "doc_id", "text").select(
         "doc_id", text.drop_last_sentence("text", _TERM).alias("kept"))
 
 
@@ -59,7 +59,7 @@ SELECT count(*) FILTER (WHERE before) AS mention_before, count(*) FILTER (WHERE
        count(*) FILTER (WHERE kept = '') AS emptied, count(*) AS rows FROM a""")
 def leak_audit(spark, folder):
     """Rows mentioning a term before and after masking, rows emptied by dropping the last sentence."""
-    docs = texts(spark, folder, "documents", "text")
+    docs = table(spark, folder, "documents", "text")
     return docs.agg(
         F.count_if(text.mentions("text", _TERM)).alias("mention_before"),
         F.count_if(text.mentions(text.mask_term("text", _TERM), _TERM)).alias("mention_after"),
@@ -73,7 +73,7 @@ def leak_audit(spark, folder):
   text ILIKE '%license%' AS mentions_license FROM documents""")
 def text_measures(spark, folder):
     """Word count, truncation with ellipsis, urgency words, case-insensitive containment."""
-    return texts(spark, folder, "documents", "doc_id", "text").select(
+    return table(spark, folder, "documents", "doc_id", "text").select(
         "doc_id", text.word_count("text").alias("words"), text.truncate("text", 400, "…").alias("shown"),
         text.is_urgent("text").alias("urgent"), text.mentions("text", "license").alias("mentions_license"))
 
@@ -419,15 +419,14 @@ def gauge_latest(spark, folder):
     return telemetry.gauge(table(spark, folder, "events"), "ts", "value", ["event_type"], "event_id")
 
 
-@query("counter_increase", """WITH l(event_type) AS (VALUES ('view'), ('click'), ('purchase'), ('refund')),
+@query("counter_increase", """WITH l AS (SELECT DISTINCT event_type FROM events),
 d AS (SELECT DISTINCT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start FROM events),
 c AS (SELECT d.window_start, l.event_type, count(e.event_id) AS n FROM d CROSS JOIN l
   LEFT JOIN events e ON date_trunc('day', e.ts) = d.window_start AND e.event_type = l.event_type GROUP BY 1, 2)
 SELECT *, CAST(sum(n) OVER (PARTITION BY event_type ORDER BY window_start) AS BIGINT) AS total FROM c""")
 def counter_increase(spark, folder):
-    """Counter per day and known label, zero where a label had no events."""
-    return telemetry.counter_increase(table(spark, folder, "events"), "ts", "event_type",
-                                      ["view", "click", "purchase", "refund"])
+    """Counter per day and label, zero where a label had no events."""
+    return telemetry.counter_increase(table(spark, folder, "events"), "ts", "event_type")
 
 
 # ------------------------------------------------------------------ records

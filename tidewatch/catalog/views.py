@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions.rules import PRICES
+from tidewatch.functions.rules import PRICES, TEAMS
 from tidewatch.operators.snapshots import snapshots
-from tidewatch.sources.tables import table, texts, transactions
+from tidewatch.sources.tables import table, transactions
 
 HOME = "NATION_7"
 
@@ -101,17 +101,25 @@ def crm(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.coalesce("urgent_orders", zero) > 0, "Yes").otherwise("No").alias("urgent"))
 
 
-# a transparent score for queries that judge or use scores: the poorer the balance, the riskier
+# a transparent score for queries that judge or use scores: the poorer the balance, the riskier; it is between
+# 0 and 1 for any balance, a half at 3000
+RISK = "round(0.5::DOUBLE - ({0} - 3000.0::DOUBLE) / (2 * (abs({0} - 3000.0::DOUBLE) + 4000)), 4)"
+
+
+def risk(balance: str) -> Column:
+    off = F.col(balance).cast("double") - F.lit(3000.0)
+    return F.round(F.lit(0.5) - off / (2 * (F.abs(off) + 4000)), 4)
+
+
 SCORED = f"""{CRM},
 scored AS (
-  SELECT *, round(greatest(least((9999 - balance) / 11000.0::DOUBLE, 1.0), 0.0), 4) AS churn_probability,
+  SELECT *, {RISK.format("balance")} AS churn_probability,
          CAST(orders < 10 AS INTEGER) AS churned
   FROM crm)"""
 
 
 def scored_crm(spark: SparkSession, folder: str) -> DataFrame:
-    p = F.greatest(F.least((F.lit(9999) - F.col("balance")) / F.lit(11000.0), F.lit(1.0)), F.lit(0.0))
-    return crm(spark, folder).withColumn("churn_probability", F.round(p, 4)).withColumn(
+    return crm(spark, folder).withColumn("churn_probability", risk("balance")).withColumn(
         "churned", (F.col("orders") < 10).cast("int"))
 
 
@@ -140,7 +148,7 @@ def usage_events(spark: SparkSession, folder: str) -> DataFrame:
 # words of the documents that carry no topic, in all four languages
 STOP_WORDS = ["the", "of", "and", "to", "in", "is", "that", "de", "la", "le", "les", "en", "que", "der", "die",
               "und", "des", "el", "los", "un", "est", "du"]
-CATEGORIES = ["credit_card", "credit_reporting", "debt_collection", "mortgages_and_loans", "retail_banking"]
+CATEGORIES = sorted(TEAMS)
 LANG_ALIASES = {"de": "german", "en": "english", "es": "spanish"}
 
 COMPLAINTS = """cases AS (
@@ -149,7 +157,7 @@ COMPLAINTS = """cases AS (
 
 def complaints(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as complaints: language is the product, source the issue."""
-    return texts(spark, folder, "documents", "doc_id", "lang", "source", "text").select(
+    return table(spark, folder, "documents", "doc_id", "lang", "source", "text").select(
         F.col("doc_id").alias("complaint_id"), F.col("lang").alias("product"),
         F.col("source").alias("issue"), F.col("text").alias("narrative"))
 

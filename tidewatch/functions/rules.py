@@ -111,8 +111,6 @@ def cost_usd(tokens_in: Column, tokens_out: Column, cache_read: Column, cache_wr
 
 
 def fits(budget: float, used: Column, reserve: float) -> Column:
-    """How many more worst-case reservations fit a budget; rounded first, since 0.50/0.05 < 10 in floats.
-
-    Truncates toward zero like an integer cast.
-    """
+    """Whole reservations that what is left of a budget pays for.  Quotients are rounded to six digits before the
+    fraction is cut off, so that binary fractions of decimal amounts do not cost one."""
     return F.round((F.lit(float(budget)) - used.cast("double")) / F.lit(float(reserve)), 6).cast("long")

@@ -50,12 +50,14 @@ def gauge(df: DataFrame, ts: str, value: str, by: list[str], tie: str | None = N
         F.count(F.lit(1)).alias("samples"))
 
 
-def counter_increase(df: DataFrame, ts: str, by: str, labels: list[str], unit: str = "DAY") -> DataFrame:
-    """Events per unit and label, with the running total; labels without events are listed as 0."""
+def counter_increase(df: DataFrame, ts: str, by: str, labels: list[str] | None = None, unit: str = "DAY") -> DataFrame:
+    """Events per unit and label, with the running total; labels without events are listed as 0.  The labels are
+    those of the data unless given."""
     counts = df.groupBy(F.date_trunc(unit, ts).cast("timestamp_ntz").alias("window_start"), by).agg(
         F.count(F.lit(1)).alias("n"))
-    grid = counts.select("window_start").distinct().withColumn(
-        by, F.explode(F.array(*[F.lit(x) for x in labels])))
+    known = F.array(*[F.lit(x) for x in labels]) if labels else counts.agg(F.collect_set(by)).scalar()
+    grid = counts.select("window_start").distinct().withColumn("_known", known).select(
+        "window_start", F.explode("_known").alias(by))
     filled = grid.join(counts, ["window_start", by], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     upto = Window.partitionBy(by).orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)
     return filled.withColumn("total", F.sum("n").over(upto))

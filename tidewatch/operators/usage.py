@@ -128,26 +128,20 @@ def cost_totals(costed: DataFrame, by: list[str]) -> DataFrame:
 
 def quota_remaining(usage_rows: DataFrame, limits) -> DataFrame:
     """Questions left today overall and for each visitor; null where no limit is set."""
-    everyone, own = [], []
-    if limits.questions_per_day:
-        everyone.append(F.lit(limits.questions_per_day) - F.col("questions_today"))
-    if limits.usd_per_day and limits.usd_per_question:
-        everyone.append(fits(limits.usd_per_day, F.col("usd_today"), limits.usd_per_question))
-    if limits.usd_per_month and limits.usd_per_question:
-        everyone.append(fits(limits.usd_per_month, F.col("usd_month"), limits.usd_per_question))
-    if limits.visitor_per_hour:
-        own.append(F.lit(limits.visitor_per_hour) - F.col("visitor_hour"))
-    if limits.visitor_per_day:
-        own.append(F.lit(limits.visitor_per_day) - F.col("visitor_day"))
-
-    def least(options: list[Column]) -> Column:
-        if not options:
-            return F.lit(None).cast("bigint")
-        smallest = options[0] if len(options) == 1 else F.least(*options)
-        return F.greatest(smallest, F.lit(0)).cast("bigint")
+    # (who, limit, what counts against it, what one question takes)
+    rules = [("all", limits.questions_per_day, "questions_today", 1),
+             ("all", limits.usd_per_day, "usd_today", limits.usd_per_question),
+             ("all", limits.usd_per_month, "usd_month", limits.usd_per_question),
+             ("one", limits.visitor_per_hour, "visitor_hour", 1), ("one", limits.visitor_per_day, "visitor_day", 1)]
+
+    def left(who: str) -> Column:
+        rooms = [fits(limit, F.col(used), each) if used.startswith("usd") else F.lit(limit) - F.col(used)
+                 for whose, limit, used, each in rules if whose == who and limit and each]
+        # least() wants two columns at least, and skips nulls
+        return F.greatest(F.least(*rooms, F.lit(None)), F.lit(0)).cast("bigint") if rooms else F.lit(None).cast("bigint")
 
     return usage_rows.select(
-        "visitor", least(everyone).alias("remaining_today"), least(own).alias("remaining_for_you"),
+        "visitor", left("all").alias("remaining_today"), left("one").alias("remaining_for_you"),
         F.round("usd_today", 4).alias("spent_today_usd"), F.round("usd_month", 4).alias("spent_this_month_usd"))
 
 

@@ -24,6 +24,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
     # and for long texts
     "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    # late rows are counted over the progress of all micro-batches
+    "spark.sql.streaming.numRecentProgressUpdates": "100000",
 }
 # shuffle files of a query that has been written out are of no more use
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

@@ -13,20 +13,6 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a small scan over all cores before CPU-heavy text work.
-
-    Fewer splits than cores means less than a few MB per core, so the exchange is cheap; a large table has
-    many more splits than cores and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def texts(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    return spread(table(spark, folder, name, *columns))
-
-
 def transactions(spark: SparkSession, folder: str) -> DataFrame:
     """One row per line item: customer, invoice, ts, product, value, cancel, country.
 
