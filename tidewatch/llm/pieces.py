@@ -112,7 +112,7 @@ def encode_pieces(df: DataFrame, path: str, text: str = "text", add: tuple[str,
     kept = without(df, *add)
     schema = extended(kept.schema, **{c: KINDS[c] for c in add})
     # the text column may itself be replaced by one that is added
-    source = df.select(df[text].alias("_text"), *[kept[c] for c in kept.columns])
+    source = df.select(df[text].alias("__tw_text"), *[kept[c] for c in kept.columns])
 
     def run(batches):
         made = words_of(path)
@@ -143,7 +143,7 @@ def decode_pieces(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded
     """``df`` with the text that the ids of each row stand for; null ids stand for the empty text."""
     kept = without(df, to)
     schema = extended(kept.schema, **{to: "string"})
-    source = df.select(df[ids].alias("_ids"), *[kept[c] for c in kept.columns])
+    source = df.select(df[ids].alias("__tw_ids"), *[kept[c] for c in kept.columns])
 
     def run(batches):
         model = words_of(path).model
