@@ -11,8 +11,6 @@ from tidewatch.operators.ordering import running
 from tidewatch.session import stage
 
 MIN_DF = 2
-MAX_TERMS = 100_000
-BROADCAST_TERMS = 250_000      # largest vocabulary that is broadcast (some ten MB)
 
 
 def term_counts(df: DataFrame, key: str, text: str, stop_words: list[str] | None = None) -> DataFrame:
@@ -24,26 +22,25 @@ def term_counts(df: DataFrame, key: str, text: str, stop_words: list[str] | None
     return counts.filter(~F.col("term").isin(*stop_words)) if stop_words else counts
 
 
-def vocabulary(counts: DataFrame, documents: int, min_df: int = MIN_DF, max_terms: int = MAX_TERMS) -> DataFrame:
-    """(term, term_id, df, idf) of the most frequent ``max_terms`` terms (ties: alphabetical)."""
+def vocabulary(counts: DataFrame, documents: int, min_df: int = MIN_DF, max_terms: int | None = None) -> DataFrame:
+    """(term, term_id, df, idf) of all terms, or of the most frequent ``max_terms`` (ties: alphabetical)."""
     terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(
         F.col("df") >= min_df)
     ranked = running(terms.withColumn("_down", -F.col("total")).withColumn("_all", F.lit(0)),
                      ["_all"], ["_down", "term"], {"place": F.lit(1)}, name="vocabulary")
-    kept = ranked.filter(F.col("place") < max_terms)
+    kept = ranked if max_terms is None else ranked.filter(F.col("place") < max_terms)
     idf = F.ln(F.lit(float(1 + documents)) / (1 + F.col("df"))) + 1
     return kept.select("term", F.col("place").cast("int").alias("term_id"), "df", idf.alias("idf"))
 
 
-def weights(counts: DataFrame, vocab: DataFrame, key: str, small: bool = True) -> DataFrame:
+def weights(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     """(key, term, term_id, weight), unit length per key.
 
-    ``small`` says the vocabulary is capped, so it is broadcast and the counts are only shuffled by key,
-    once, for the norms; a key's group is at most its share of the vocabulary.  Without a cap the join is a
-    plain equi join (one row per term on one side, the other open to skew splitting).
+    The join is a plain equi join (one row per term on one side, the other open to skew splitting); adaptive
+    execution broadcasts the vocabulary where it is measured to be small.
     """
     known = vocab.select("term", "term_id", "idf")
-    raw = counts.join(F.broadcast(known) if small else known, "term").select(
+    raw = counts.join(known, "term").select(
         key, "term", "term_id", ((F.ln(F.col("tf")) + 1) * F.col("idf")).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return raw.select(key, "term", "term_id", (F.col("raw") / norm).alias("weight"))
@@ -51,20 +48,25 @@ def weights(counts: DataFrame, vocab: DataFrame, key: str, small: bool = True) -
 
 def tfidf(corpus: DataFrame, queries: DataFrame | None, key: str, text: str,
           stop_words: list[str] | None = None, min_df: int = MIN_DF,
-          max_terms: int = MAX_TERMS) -> tuple[DataFrame, DataFrame | None]:
+          max_terms: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Weights of the corpus, and of the queries under the corpus' vocabulary."""
     documents = corpus.count()
     counts = stage(term_counts(corpus, key, text, stop_words), "term-counts")
     vocab = stage(vocabulary(counts, documents, min_df, max_terms), "vocabulary-idf")
-    small = max_terms <= BROADCAST_TERMS
-    own = weights(counts, vocab, key, small)
+    own = weights(counts, vocab, key)
     if queries is None:
         return own, None
-    return own, weights(term_counts(queries, key, text, stop_words), vocab, key, small)
+    return own, weights(term_counts(queries, key, text, stop_words), vocab, key)
 
 
-def packed(weighted: DataFrame, key: str) -> DataFrame:
-    """(key, terms, weights): one sparse vector of term ids per document, sized by its own vocabulary."""
+def packed(weighted: DataFrame, key: str, every: DataFrame | None = None) -> DataFrame:
+    """(key, terms, weights): one sparse vector of term ids per document, sized by its own vocabulary; documents
+    of ``every`` without a known term have an empty one."""
     entry = F.struct("term_id", "weight")
-    return weighted.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("e")).select(
+    vectors = weighted.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("e")).select(
         key, F.col("e.term_id").alias("terms"), F.col("e.weight").alias("weights"))
+    if every is None:
+        return vectors
+    return every.select(key).join(vectors, key, "left").select(
+        key, F.coalesce("terms", F.expr("array()").cast("array<int>")).alias("terms"),
+        F.coalesce("weights", F.expr("array()").cast("array<double>")).alias("weights"))
