@@ -25,7 +25,6 @@ def kneser_ney(texts):
     used = {ORDER: counts[ORDER]}
     for n in range(1, ORDER):
         used[n] = Counter(g[1:] for g in counts[n + 1])
-    size = len(counts[1]) + 1
     discounts = {}
     for n in used:
         once, twice = (sum(v == k for v in used[n].values()) for k in (1, 2))
@@ -34,7 +33,7 @@ def kneser_ney(texts):
     def p(gram):
         n = len(gram)
         if n == 0:
-            return 1 / size
+            return 1 / language.CHARACTERS
         below = p(gram[1:])
         same = {g: c for g, c in used[n].items() if g[:-1] == gram[:-1]}
         total = sum(same.values())

@@ -40,6 +40,7 @@ SAMPLE = 1200               # texts per language
 SLACK = 1.5
 LONGEST = 400               # characters beyond which a text's cross-entropy is taken to be as sure as it gets
 GROUP = 1 << 19             # characters scored at once
+CHARACTERS = 1 << 16        # that a text might hold; the lowest order gives each the same small chance
 _STEP = np.random.default_rng(77).integers(0, 2**63, ORDER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -87,6 +88,26 @@ def hashes(code: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _parts(texts: list[str]):
+    """(text of each part, parts) in groups of bounded size; a long text is parted at blanks, so that the working
+    memory does not follow its length."""
+    owner, parts, size = [], [], 0
+    for i, text in enumerate(texts):
+        at = 0
+        while at < len(text) or not at:
+            upto = text.find(" ", at + GROUP) if len(text) - at > 2 * GROUP else -1
+            upto = len(text) if upto < 0 else upto
+            owner.append(i)
+            parts.append(text[at:upto])
+            size += upto - at
+            at = upto if upto else 1
+            if size >= GROUP:
+                yield owner, parts
+                owner, parts, size = [], [], 0
+    if parts:
+        yield owner, parts
+
+
 def _scored(which: np.ndarray) -> np.ndarray:
     """Places that are predicted: all but the blanks in front of a text."""
     first = np.searchsorted(which, np.arange(which[-1] + 1 if len(which) else 0))
@@ -120,35 +141,49 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
         F.first("history").alias("history"), F.first("lower").alias("lower"), F.sum("count").alias("count"))
 
 
+def gathered(counts: DataFrame) -> dict[tuple[str, int], np.ndarray]:
+    """The rows of ``gram_counts`` by language and n: arrays of gram, history, lower and count.  They come to the
+    driver as bytes, 32 per n-gram of the bounded sample."""
+    columns = ["gram", "history", "lower", "count"]
+
+    def run(batches):
+        for batch in batches:
+            langs, orders = np.array(batch.column("lang").to_pylist()), batch.column("n").to_numpy()
+            values = np.stack([batch.column(c).to_numpy() for c in columns])
+            for lang in np.unique(langs).tolist():
+                for n in range(1, ORDER + 1):
+                    part = values[:, (langs == lang) & (orders == n)]
+                    if part.size:
+                        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([n], pa.int32()),
+                                                          pa.array([part.T.tobytes()], pa.binary())],
+                                                         names=["lang", "n", "rows"])
+
+    parts: dict[tuple[str, int], list[np.ndarray]] = {}
+    for r in counts.select("lang", "n", *columns).mapInArrow(run, "lang string, n int, rows binary").toLocalIterator():
+        parts.setdefault((r["lang"], r["n"]), []).append(np.frombuffer(r["rows"], np.uint64).reshape(-1, 4))
+    return {k: np.concatenate(v).T for k, v in parts.items()}
+
+
 class Models:
     """Sorted hash arrays of all languages' models."""
 
-    def __init__(self, counts, langs: list[str]):
-        """``counts``: the rows of ``gram_counts`` as a pandas table."""
-        self.langs = langs
+    def __init__(self, counts: dict[tuple[str, int], np.ndarray]):
+        """``counts``: what ``gathered`` gives."""
+        self.langs = sorted({lang for lang, _ in counts})
         self.grams, self.logp, self.histories, self.weight = [], [], [], []
-        self.unseen = 0.0
-        size = max(1, counts[counts.n == 1].gram.nunique()) + 1
-        probability = {lang: None for lang in langs}
-        lower_grams = None
+        below_all, lower_grams = None, None
         for n in range(1, ORDER + 1):
-            rows = counts[counts.n == n]
-            grams = np.unique(rows.gram.to_numpy().view(np.uint64))
-            first = rows.drop_duplicates("gram")
-            order = np.argsort(first.gram.to_numpy().view(np.uint64))
-            history = first.history.to_numpy().view(np.uint64)[order]
-            lower = first.lower.to_numpy().view(np.uint64)[order]
-            histories, slot = np.unique(history, return_inverse=True)
-            logp = np.empty((len(grams), len(langs)), np.float64)
-            weights = np.ones((len(histories), len(langs)), np.float64)
-            for k, lang in enumerate(langs):
-                here = rows[rows.lang == lang]
+            rows = np.concatenate([counts[lang, n] for lang in self.langs], axis=1)
+            grams, first = np.unique(rows[0], return_index=True)
+            histories, slot = np.unique(rows[1, first], return_inverse=True)
+            under = None if n == 1 else np.searchsorted(lower_grams, rows[2, first])
+            chance = np.empty((len(grams), len(self.langs)))
+            weights = np.ones((len(histories), len(self.langs)))
+            for k, lang in enumerate(self.langs):
                 if n == ORDER:
-                    c = here["count"].to_numpy().astype(float)
-                    own = here.gram.to_numpy().view(np.uint64)
-                else:
-                    above = counts[(counts.n == n + 1) & (counts.lang == lang)]
-                    own, c = np.unique(above.lower.to_numpy().view(np.uint64), return_counts=True)
+                    own, c = counts[lang, n][0], counts[lang, n][3].astype(float)
+                else:                   # as many as there are characters in front of it
+                    own, c = np.unique(counts[lang, n + 1][2], return_counts=True)
                 amount = np.zeros(len(grams))
                 amount[np.searchsorted(grams, own)] = c
                 once, twice = (amount == 1).sum(), (amount == 2).sum()
@@ -156,21 +191,17 @@ class Models:
                 total = np.bincount(slot, amount, len(histories))
                 kinds = np.bincount(slot, amount > 0, len(histories))
                 seen = total > 0
-                weight = np.ones(len(histories))
-                weight[seen] = discount * kinds[seen] / total[seen]
-                below = (np.full(len(grams), 1 / size) if n == 1 else
-                         probability[lang][np.searchsorted(lower_grams, lower)])
-                share = np.maximum(amount - discount, 0) / np.where(total[slot] > 0, total[slot], 1)
-                p = share + weight[slot] * below
-                probability[lang] = p
-                logp[:, k], weights[:, k] = np.log(p), np.log(weight)
+                weights[seen, k] = discount * kinds[seen] / total[seen]
+                below = 1 / CHARACTERS if n == 1 else below_all[under, k]
+                share = np.maximum(amount - discount, 0) / np.where(seen, total, 1)[slot]
+                chance[:, k] = share + weights[slot, k] * below
             self.grams.append(grams)
-            self.logp.append(logp.astype(np.float32))
+            self.logp.append(np.log(chance).astype(np.float32))
             self.histories.append(histories)
-            self.weight.append(weights.astype(np.float32))
-            lower_grams = grams
-        self.unseen = -math.log(size)
-        self.mean = np.zeros(len(langs))
+            self.weight.append(np.log(weights).astype(np.float32))
+            below_all, lower_grams = chance, grams
+        self.unseen = -math.log(CHARACTERS)
+        self.mean = np.zeros(len(self.langs))
         self.bound = math.inf
 
     def _rows(self, h: list[np.ndarray], at: np.ndarray, n: int) -> np.ndarray:
@@ -194,18 +225,20 @@ class Models:
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(letters of each text, cross-entropy per character of each text in each language)."""
-        code, which = characters(texts)
-        at = _scored(which)
+        letters, count = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         total = np.zeros((len(texts), len(self.langs)))
-        owner = which[at]
-        h = hashes(code)
-        for a in range(0, len(at), GROUP):
-            rows = self._rows(h, at[a:a + GROUP], ORDER)
-            own = owner[a:a + GROUP]
-            cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            np.add.at(total, own[cut], np.add.reduceat(rows, cut, axis=0, dtype=np.float64))
-        count = np.bincount(owner, minlength=len(texts))
-        letters = np.bincount(which, code != 32, len(texts)).astype(np.int64)
+        for owner, parts in _parts(texts):
+            code, which = characters(parts)
+            at = _scored(which)
+            h = hashes(code)
+            which = np.array(owner)[which]
+            own = which[at]
+            for a in range(0, len(at), GROUP):
+                rows, mine = self._rows(h, at[a:a + GROUP], ORDER), own[a:a + GROUP]
+                cut = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+                np.add.at(total, mine[cut], np.add.reduceat(rows, cut, axis=0, dtype=np.float64))
+            count += np.bincount(own, minlength=len(texts))
+            letters += np.bincount(which, code != 32, len(texts)).astype(np.int64)
         return letters, -total / np.maximum(count, 1)[:, None]
 
     def predict(self, texts: list[str | None]):
@@ -222,18 +255,14 @@ class Models:
         return ([x or "und" for x in names], np.where(none, 0.0, score), np.where(none, 0.0, lowest),
                 none | (excess > self.bound))
 
-    def calibrate(self, texts: list[str], langs: list[str]) -> None:
-        place = {x: i for i, x in enumerate(self.langs)}
-        own = np.array([place[x] for x in langs], int)
-        letters, entropy = self.entropies(texts)
-        mine = entropy[np.arange(len(own)), own]
-        use = letters > 0
-        if not use.any():
+    def calibrate(self, own: np.ndarray, letters: np.ndarray, entropy: np.ndarray) -> None:
+        """From texts of the languages ``own``: their letters and cross-entropies in their own language."""
+        if not len(own):
             return
         for k in range(len(self.langs)):
-            weight = letters * (own == k) * use
-            self.mean[k] = (mine * weight).sum() / weight.sum() if weight.sum() else mine[use].mean()
-        excess = (mine - self.mean[own])[use] * np.sqrt(np.minimum(letters[use], LONGEST))
+            weight = letters * (own == k)
+            self.mean[k] = (entropy * weight).sum() / weight.sum() if weight.sum() else entropy.mean()
+        excess = (entropy - self.mean[own]) * np.sqrt(np.minimum(letters, LONGEST))
         self.bound = SLACK * max(float(excess.max()), 1.0)
 
 
@@ -251,17 +280,26 @@ def fit(labelled: DataFrame, most: int = SAMPLE) -> Models | None:
     """Models of every language with a label in (lang, text), or None without any."""
     drawn = stage(sample_of(labelled, most), "labelled")
     half = F.pmod(F.shiftright("h", 8), F.lit(2))
-    counts = gram_counts(drawn.filter(half == 0)).toPandas()        # bounded by the sample
-    langs = sorted(counts.lang.unique())
-    if not langs:
-        counts = gram_counts(drawn).toPandas()
-        langs = sorted(counts.lang.unique())
-        if not langs:
-            return None
-    models = Models(counts, langs)
-    test = drawn.filter((half == 1) & F.col("lang").isin(langs)).select("lang", "text").toPandas()
-    if len(test):
-        models.calibrate(test.text.tolist(), test.lang.tolist())
+    counts = gathered(gram_counts(drawn.filter(half == 0))) or gathered(gram_counts(drawn))
+    if not counts:
+        return None
+    models = Models(counts)
+    place = {x: i for i, x in enumerate(models.langs)}
+    shared = labelled.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches):
+        for batch in batches:
+            own = np.array([place[x] for x in batch.column(0).to_pylist()], int)
+            letters, entropy = shared.value.entropies(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(letters, pa.int64()),
+                                              pa.array(entropy[np.arange(len(own)), own], pa.float64())],
+                                             names=["own", "letters", "entropy"])
+
+    # a row per text of the sample
+    test = drawn.filter((half == 1) & F.col("lang").isin(models.langs)).select("lang", "text").mapInArrow(
+        run, "own int, letters long, entropy double").filter("letters > 0").collect()
+    models.calibrate(*(np.array([r[c] for r in test], kind) for c, kind in
+                       (("own", int), ("letters", float), ("entropy", float))))
     return models
 
 
@@ -272,28 +310,18 @@ def predict(docs: DataFrame, models: Models | None, text: str = "text") -> DataF
     """``docs`` with lang_pred, score (0 to 1), cross_entropy and rejected."""
     kept = without(docs, *KINDS)
     schema = extended(kept.schema, **KINDS)
-    source = docs.select(docs[text].cast("string").alias("_text"), *[docs[c] for c in kept.columns])
+    source = docs.select(docs[text].cast("string").alias("__tw_text"), *[docs[c] for c in kept.columns])
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
         known = shared.value
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            out: list[list] = [[], [], [], []]
-            at = 0
-            while at < len(texts):
-                upto, size = at, 0
-                while upto < len(texts) and size < GROUP:
-                    size += len(texts[upto] or "")
-                    upto += 1
-                got = known.predict(texts[at:upto]) if known else (
-                    ["und"] * (upto - at), [0.0] * (upto - at), [0.0] * (upto - at), [True] * (upto - at))
-                for column, values in zip(out, got):
-                    column.extend(values)
-                at = upto
+            n = len(texts)
+            got = known.predict(texts) if known else (["und"] * n, [0.0] * n, [0.0] * n, [True] * n)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()),
-                 pa.array(out[2], pa.float64()), pa.array(out[3], pa.bool_())], names=schema.names)
+                [*batch.columns[1:], *[pa.array(x, k) for x, k in zip(got, (
+                    pa.string(), pa.float64(), pa.float64(), pa.bool_()))]], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
