@@ -112,7 +112,7 @@ def risk_tier_offer(spark, folder):
     return _playbook(spark, folder)
 
 
-@query("playbook_join", f"""WITH {_PLAYBOOK}, pred AS (SELECT customer, churn_probability FROM scored
+_JOINED = f"""WITH {_PLAYBOOK}, pred AS (SELECT customer, churn_probability FROM scored
   UNION ALL SELECT -1, 0.9)
 SELECT pred.customer, pred.churn_probability,
   CASE WHEN pred.churn_probability >= 0.6 THEN 'retention_call' WHEN pred.churn_probability >= 0.35
@@ -120,19 +120,32 @@ SELECT pred.customer, pred.churn_probability,
   CASE WHEN pred.churn_probability < 0.35 THEN NULL WHEN crm.segment = 'BUILDING' THEN '{rules.OFFER_CONTRACT}'
     WHEN crm.urgent = 'No' AND crm.orders > 0 THEN '{rules.OFFER_SUPPORT}'
     WHEN crm.nation = 'NATION_7' THEN '{rules.OFFER_AUTOPAY}' ELSE '{rules.OFFER_DEFAULT}' END AS offer
-FROM pred LEFT JOIN crm ON crm.customer = pred.customer""")
-def playbook_join(spark, folder):
-    """Predictions joined to the customer book; a prediction without a customer gets the default offer."""
+FROM pred LEFT JOIN crm ON crm.customer = pred.customer"""
+
+
+def _played(spark, folder, known_only):
     scored = scored_crm(spark, folder)
     unknown = spark.createDataFrame([(-1, 0.9)], "customer bigint, churn_probability double")
     predictions = scored.select("customer", "churn_probability").unionByName(unknown)
     book = scored.select("customer", "segment", "urgent", "orders", "nation")
     out = playbook.apply_playbook(
         predictions, book, "customer", F.col("segment") == "BUILDING",
-        (F.col("urgent") == "No") & (F.col("orders") > 0), F.col("nation") == "NATION_7")
+        (F.col("urgent") == "No") & (F.col("orders") > 0), F.col("nation") == "NATION_7", known_only)
     return out.select("customer", "churn_probability", "action", "offer")
 
 
+@query("playbook_join", _JOINED)
+def playbook_join(spark, folder):
+    """Predictions joined to the customer book; a prediction without a customer gets the default offer."""
+    return _played(spark, folder, False)
+
+
+@query("playbook_known", _JOINED.replace("LEFT JOIN crm", "JOIN crm"))
+def playbook_known(spark, folder):
+    """Predictions of known customers only."""
+    return _played(spark, folder, True)
+
+
 @query("retention_digest", f"""WITH {_PLAYBOOK}, top AS (SELECT * FROM play WHERE tier = 'high'
   ORDER BY churn_probability DESC, customer LIMIT 5)
 SELECT count(*) AS customers, count(*) FILTER (WHERE tier = 'high') AS high,
@@ -323,6 +336,15 @@ def cost_totals(spark, folder):
     return usage.cost_totals(costed, ["model"]).withColumn("usd", F.round("usd", 6))
 
 
+@query("cost_per_question", f"""WITH {_CALLS} SELECT id, count(*) AS calls,
+  CAST(sum(input_tokens + coalesce(cache_read, 0) + coalesce(cache_write, 0)) AS BIGINT) AS input_tokens,
+  CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(usd), 6) AS usd FROM cost GROUP BY id""")
+def cost_per_question(spark, folder):
+    """Tokens and dollars of every question."""
+    costed = usage.with_cost(_calls(spark, folder), usage.price_table(spark))
+    return usage.cost_totals(costed, ["id"]).withColumn("usd", F.round("usd", 6))
+
+
 @query("event_latest_state", f"""WITH {EVENTS}, ch AS (
   SELECT id, "at" AS changed_at, 0 AS seq, 'pending' AS outcome, 0.05::DECIMAL(10, 5) AS usd FROM ev
   UNION ALL SELECT id, "at" + INTERVAL 5 SECOND, 1, outcome, CASE WHEN outcome = 'failed' THEN 0 ELSE usd END FROM ev
@@ -397,6 +419,13 @@ def route_latency(spark, folder):
     return telemetry.route_latency_exact(table(spark, folder, "events"), "ts", "event_type", "value")
 
 
+@query("route_latency_minute", """SELECT CAST(date_trunc('minute', ts) AS TIMESTAMP) AS window_start, event_type,
+count(*) AS requests, quantile_disc(value, 0.95) AS latency FROM events GROUP BY 1, 2""")
+def route_latency_minute(spark, folder):
+    """Requests and exact p95 per route and minute."""
+    return telemetry.route_latency_exact(table(spark, folder, "events"), "ts", "event_type", "value", "MINUTE")
+
+
 @query("request_rate", """SELECT CAST(date_trunc('minute', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS requests
 FROM events GROUP BY 1, 2""")
 def request_rate(spark, folder):
@@ -463,6 +492,27 @@ def copy_reconcile(spark, folder):
     return records.copy_table(complaints(spark, folder), scratch_path(spark, "copy"), ["product"])
 
 
+@query("reconcile_changed_copy", """SELECT count(*) AS source_rows, count(*) AS copied_rows,
+count(*) FILTER (WHERE source = 'src1') = 0 AS same_content FROM documents""")
+def reconcile_changed_copy(spark, folder):
+    """A copy in which one source has another name: as many rows, other contents."""
+    cases = complaints(spark, folder)
+    changed = cases.withColumn("issue", F.when(F.col("issue") == "src1", "src01").otherwise(F.col("issue")))
+    return records.reconcile(cases, changed)
+
+
+@query("table_refresh", """SELECT lang AS product, count(*) AS cases, FALSE AS empty FROM documents GROUP BY lang""")
+def table_refresh(spark, folder):
+    """A catalog table refreshed twice, with statistics, checked for emptiness and read back."""
+    path = scratch_path(spark, "catalog-table")
+    name = "cases_" + path.rsplit("-", 1)[-1]
+    cases = complaints(spark, folder).drop("narrative")
+    for rows in (cases.limit(0), cases):
+        records.refresh_table(rows, name, path=path)
+    empty = records.is_empty_index(spark.table(name))
+    return spark.table(name).groupBy("product").agg(F.count(F.lit(1)).alias("cases")).withColumn("empty", F.lit(empty))
+
+
 @query("csv_round_trip", """SELECT doc_id, length(text) AS chars, source FROM documents""")
 def csv_round_trip(spark, folder):
     """Write an enriched table as CSV with a header and read it back with its schema."""

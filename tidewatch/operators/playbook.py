@@ -12,12 +12,13 @@ MAX_LIST = 25              # fixed value: longest at-risk list
 
 
 def apply_playbook(predictions: DataFrame, customers: DataFrame, key: str, month_to_month: Column,
-                   wants_support: Column, manual_payment: Column) -> DataFrame:
+                   wants_support: Column, manual_payment: Column, known_only: bool = False) -> DataFrame:
     """Tier, action and offer per scored customer.
 
-    Left join: a prediction without a customer row keeps its tier and gets the default offer.
+    A prediction without a customer row keeps its tier and gets the default offer, or goes if only known
+    customers are wanted.
     """
-    joined = predictions.join(customers, key, "left")
+    joined = predictions.join(customers, key, "inner" if known_only else "left")
     tiered = joined.withColumn("tier", risk_tier("churn_probability"))
     flag = lambda c: F.coalesce(c, F.lit(False))
     return tiered.withColumn("action", tier_action("tier")).withColumn("offer", retention_offer(

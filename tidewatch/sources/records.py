@@ -123,9 +123,10 @@ def refresh(df: DataFrame, path: str, partition_by: list[str] | None = None) ->
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def refresh_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> None:
-    """Full refresh of a catalog table, with statistics for the optimizer."""
+def refresh_table(df: DataFrame, name: str, partition_by: list[str] | None = None, path: str | None = None) -> None:
+    """Full refresh of a catalog table (at ``path`` if given), with statistics for the optimizer."""
     writer = df.write.mode("overwrite").format("parquet")
+    writer = writer.option("path", path) if path else writer
     (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(name)
     df.sparkSession.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS")
 
@@ -139,8 +140,12 @@ def fingerprint(df: DataFrame) -> DataFrame:
 def copy_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
     """Copy, read back and reconcile: one row with both counts and whether the contents agree."""
     refresh(df, path, partition_by)
-    back = df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
-    there = fingerprint(back).select(F.struct("rows", "checksum")).scalar()
+    return reconcile(df, df.sparkSession.read.schema(df.schema).parquet(path))
+
+
+def reconcile(df: DataFrame, copy: DataFrame) -> DataFrame:
+    """One row: rows of the source and of a copy, and whether their contents agree."""
+    there = fingerprint(copy.select(*df.columns)).select(F.struct("rows", "checksum")).scalar()
     return fingerprint(df).withColumn("there", there).select(
         F.col("rows").alias("source_rows"), F.col("there.rows").alias("copied_rows"),
         (F.col("checksum") == F.col("there.checksum")).alias("same_content"))
