@@ -36,7 +36,7 @@ from tidewatch.llm.base import extended, query, table, without
 from tidewatch.session import stage
 
 ORDER = 4
-SAMPLE = 1200               # texts per language
+SAMPLE = 1000               # texts per language; the window below drops more than that before its shuffle
 SLACK = 1.5
 LONGEST = 400               # characters beyond which a text's cross-entropy is taken to be as sure as it gets
 GROUP = 1 << 19             # characters scored at once
