@@ -39,7 +39,8 @@ from tidewatch.llm.base import extended, query, runs, table, utf8, without
 from tidewatch.llm.shingles import _BASE, mix
 from tidewatch.session import stage
 
-BUCKET = 2_000_000          # suffixes sorted at once
+BUCKET = 3_000_000          # suffixes that are sent to one place
+PASSES = 4                  # in which they are sorted there, a share of the fingerprints each
 SEGMENT = 1 << 19           # bytes hashed at once
 BROADCAST_ROWS = 1_000_000  # of 16 bytes, or of three numbers each
 SHORT, LONG = 4, 7          # bytes of a fingerprint in the two steps
@@ -115,6 +116,7 @@ def starts_before(shared: np.ndarray, n: int, length: int, v: int) -> np.ndarray
 
 
 PACKED = "bucket int, known boolean, docs binary, counts binary, places binary, prints binary"
+FOUND = "part int, docs binary, counts binary, places binary"
 PLACES = "name binary, places binary"
 
 
@@ -133,7 +135,7 @@ def _numbers(data: bytes, width: int) -> np.ndarray:
 class _Packer:
     """Suffixes (document, place, fingerprint) of many documents, packed per bucket."""
 
-    def __init__(self, buckets: int, width: int, most: int = 1 << 20):
+    def __init__(self, buckets: int, width: int, most: int = 1 << 19):
         self.buckets, self.width, self.most = buckets, width, most
         self.clear()
 
@@ -176,7 +178,7 @@ class _Packer:
             if not len(at):
                 continue
             which, counts = np.unique(doc[at], return_counts=True)
-            values = (b, sure, b"".join(names[i] for i in which), counts.astype("<u4").tobytes(),
+            values = (b, sure, b"".join(names[i] for i in which), _planes(counts, 4),
                       _planes(np.diff(place[at], prepend=0), 8),
                       b"" if sure else _planes((prints[at] // np.uint64(self.buckets)), self.width))
             for column, value in zip(out, values):
@@ -186,54 +188,91 @@ class _Packer:
                                           names=["bucket", "known", "docs", "counts", "places", "prints"])
 
 
-def _unpack(row: dict, width: int):
-    """(names, document of each suffix, places, fingerprints)."""
-    names = [row["docs"][i:i + 16] for i in range(0, len(row["docs"]), 16)]
-    doc = np.repeat(np.arange(len(names)), np.frombuffer(row["counts"], "<u4"))
-    places = np.cumsum(_numbers(row["places"], 8).view(np.int64))
-    return names, doc, places, _numbers(row["prints"], width) if row["prints"] else None
-
-
-def _by_document(names: list[bytes], doc: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((places, doc))
-    which, first = np.unique(doc[order], return_index=True)
-    parts = np.split(places[order].astype("<u4"), first[1:]) if len(which) else []
-    return pa.RecordBatch.from_arrays([pa.array([names[i] for i in which], pa.binary()),
-                                       pa.array([p.tobytes() for p in parts], pa.binary())],
-                                      names=["name", "places"])
+def _dealt(own: np.ndarray, names: list[bytes], parts: int) -> pa.RecordBatch:
+    """Packed rows of marked suffixes, given as (document << 32 | place), by part of the documents."""
+    part = np.array([int.from_bytes(n[:4], "little") % parts for n in names], np.int64)
+    order = np.argsort(part, kind="stable")                 # documents of a part next to each other
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    own = np.sort(rank[own >> 32] << 32 | own & 0xFFFFFFFF)
+    which, counts = np.unique(own >> 32, return_counts=True)
+    of = part[order[which]]
+    cuts = np.flatnonzero(np.diff(of)) + 1
+    ends = np.cumsum(counts)
+    out: list[list] = [[], [], [], []]
+    for docs, n in zip(np.split(np.arange(len(which)), cuts), np.split(counts, cuts)) if len(which) else ():
+        places = own[ends[docs[0]] - counts[docs[0]]:ends[docs[-1]]] & 0xFFFFFFFF
+        for column, value in zip(out, (int(of[docs[0]]), b"".join(names[order[which[d]]] for d in docs), _planes(n, 4),
+                                       _planes(np.diff(places, prepend=0), 8))):
+            column.append(value)
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]],
+                                      names=["part", "docs", "counts", "places"])
+
+
+def _rows(group: pa.Table):
+    for batch in group.to_batches(max_chunksize=4):
+        yield from batch.to_pylist()
+
+
+def _joined(rows, number: dict[bytes, int], width: int = 0, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(document << 32 | place, fingerprints) of packed rows; a document has its ``number`` throughout.  With a
+    ``width``, only the fingerprints whose turn it is."""
+    own, prints = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for row in rows:
+        names = [row["docs"][i:i + 16] for i in range(0, len(row["docs"]), 16)]
+        local = np.array([number.setdefault(n, len(number)) for n in names], np.int64)
+        doc = np.repeat(local, _numbers(row["counts"], 4).astype(np.int64))
+        mine = doc << 32 | np.cumsum(_numbers(row["places"], 8).view(np.int64))
+        if width:
+            values = _numbers(row["prints"], width)
+            now = np.flatnonzero(values % np.uint64(PASSES) == turn)
+            mine, values = mine[now], values[now]
+            prints.append(values)
+        own.append(mine)
+    return np.concatenate(own), np.concatenate(prints)
 
 
 def _repeated(packed: DataFrame, buckets: int, width: int) -> DataFrame:
-    """(name, places) of the suffixes that are not alone with their fingerprint; a name may come several times."""
-    def run(batches):
+    """(name, places) of the suffixes that are not alone with their fingerprint, one row per document."""
+    def mark(batches):
         for group in runs(batches, ["bucket", "known"]):
             if group["known"][0].as_py():
-                for row in group.to_pylist():
-                    yield _by_document(*_unpack(row, width)[:3])
+                for row in _rows(group):
+                    number: dict[bytes, int] = {}
+                    own = _joined([row], number)[0]
+                    yield _dealt(own, list(number), buckets)
                 continue
+            number = {}
+            for turn in range(PASSES):
+                own, prints = _joined(_rows(group), number, width, turn)
+                if not len(own):
+                    continue
+                order = np.argsort(prints, kind="stable")
+                prints, own = prints[order], own[order]
+                start = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
+                shared = np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start)
+                yield _dealt(own[np.repeat(shared, np.diff(np.append(start, len(own))))], list(number), buckets)
+
+    def gather(batches):
+        for group in runs(batches, ["part"]):
             number: dict[bytes, int] = {}
-            docs, places, prints = [], [], []
-            for batch in group.to_batches():
-                for row in batch.to_pylist():
-                    names, doc, place, fp = _unpack(row, width)
-                    docs.append(np.array([number.setdefault(n, len(number)) for n in names], np.int64)[doc])
-                    places.append(place)
-                    prints.append(fp)
-            doc, place, fp = np.concatenate(docs), np.concatenate(places), np.concatenate(prints)
-            docs.clear(), places.clear(), prints.clear()
-            order = np.argsort(fp, kind="stable")
-            start = np.flatnonzero(np.concatenate([[True], fp[order][1:] != fp[order][:-1]]))
-            own = (doc << 32 | place)[order]
-            shared = np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start)
-            at = order[np.repeat(shared, np.diff(np.append(start, len(order))))]
-            yield _by_document(list(number), doc[at], place[at])
-
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "known").mapInArrow(run, PLACES)
-
-
-def _gathered(places: DataFrame) -> DataFrame:
-    """One row per document: its places, as several runs of numbers."""
-    return places.groupBy("name").agg(F.collect_list("places").alias("places"))
+            own = np.unique(_joined(_rows(group), number)[0])
+            names = list(number)
+            which, first = np.unique(own >> 32, return_index=True)
+            for at in range(0, len(which), 1000):
+                docs = which[at:at + 1000]
+                ends = np.append(first[1:], len(own))[at:at + 1000]
+                blobs = [_planes(np.diff(own[a:b] & 0xFFFFFFFF, prepend=0), 4) for a, b in zip(first[at:at + 1000], ends)]
+                yield pa.RecordBatch.from_arrays([pa.array([names[d] for d in docs], pa.binary()),
+                                                  pa.array(blobs, pa.binary())], names=["name", "places"])
+
+    marked = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "known").mapInArrow(mark, FOUND)
+    return marked.repartition(buckets, "part").sortWithinPartitions("part").mapInArrow(gather, PLACES)
+
+
+def _places(data: bytes) -> np.ndarray:
+    """The places of a document, in order."""
+    return np.cumsum(_numbers(data, 4).view(np.int64))
 
 
 def _name(text: Column) -> Column:
@@ -272,10 +311,15 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
         yield pack.flush()
 
     buckets = max(1, math.ceil(total * len(cover) / v / BUCKET))
-    shared = stage(_gathered(_repeated(once.mapInArrow(sample, PACKED), buckets, SHORT)), "shared")
+    shared = stage(_repeated(once.mapInArrow(sample, PACKED), buckets, SHORT), "shared")
+
+    def reach(batches):
+        for batch in batches:
+            sizes = [int(np.minimum(np.diff(_places(p), prepend=-1), v).sum()) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(sizes)], pa.int64())], names=["size"])
 
-    marked = shared.agg(F.coalesce(F.sum(F.aggregate("places", F.lit(0).cast("long"),
-                                                     lambda a, x: a + (F.octet_length(x) / 4).cast("long"))), F.lit(0))).first()[0]
+    wide = shared.select("places").mapInArrow(reach, "size long").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    wide = max(1, math.ceil(wide / BUCKET))
     names = shared.select("name")
     near = once.join(F.broadcast(names) if _few(names) else names, "name", "left_semi").join(shared, "name")
 
@@ -285,19 +329,17 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
             for name, raw, places in zip(batch.column("name").to_pylist(), batch.column("raw"),
                                          batch.column("places").to_pylist()):
                 raw = np.frombuffer(raw.as_buffer(), np.uint8)
-                at = starts_before(np.frombuffer(b"".join(places), "<u4").astype(np.int64), len(raw), length, v)
+                at = starts_before(_places(places), len(raw), length, v)
                 yield from pack.add(name, at, fingerprints(raw, at, length))
         yield pack.flush()
 
-    # a shared cover position brings at most v suffixes, and no text has more of them than bytes
-    wide = max(1, math.ceil(min(marked * v, total) / BUCKET))
-    starts = _gathered(_repeated(near.select("name", "raw", "places").mapInArrow(suffixes, PACKED), wide, LONG))
+    starts = _repeated(near.select("name", "raw", "places").mapInArrow(suffixes, PACKED), wide, LONG)
 
     def spans(batches):
         for batch in batches:
             found = []
             for places in batch.column("places").to_pylist():
-                at = np.sort(np.frombuffer(b"".join(places), "<u4").astype(np.int64))
+                at = _places(places)
                 cut = np.flatnonzero(np.diff(at) > length) + 1
                 edges = zip(at[np.concatenate([[0], cut])], at[np.concatenate([cut - 1, [len(at) - 1]])] + length)
                 found.append([{"start": int(a), "end": int(b)} for a, b in edges])
