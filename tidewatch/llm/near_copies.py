@@ -221,16 +221,26 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _name_forest(percent: int):
+    """A forest of the most similar plausible pairs of each block pair: every tree takes its best pair to another
+    tree until none is left (Boruvka)."""
     def run(batches):
         for group in runs(batches, BLOCK_KEYS):
-            found = [(int(s), i, int(j)) for i, js, same in _plausible(group, percent) for j, s in zip(js, same)]
+            same = np.zeros((group.num_rows, group.num_rows), np.uint16)
+            for i, js, equal in _plausible(group, percent):
+                same[i, js] = same[js, i] = equal
             nodes, forest = group["node"].to_pylist(), _Forest(list(range(group.num_rows)))
             pairs = []
-            for _, i, j in sorted(found, reverse=True):
-                if forest.left == 1:
+            while True:
+                tree = np.array([forest.root(i) for i in range(group.num_rows)])
+                same[tree[:, None] == tree[None, :]] = 0
+                best = same.argmax(1)
+                most = same[np.arange(len(best)), best]
+                order = np.lexsort((-most.astype(np.int64), tree))
+                first = order[np.concatenate([[True], tree[order][1:] != tree[order][:-1]])]
+                first = first[most[first] > 0]
+                if not len(first):
                     break
-                if forest.join(i, j):
-                    pairs.append(sorted((nodes[i], nodes[j])))
+                pairs += [sorted((nodes[i], nodes[best[i]])) for i in first.tolist() if forest.join(i, int(best[i]))]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()),
                                               pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
     return run
@@ -239,11 +249,10 @@ def _name_forest(percent: int):
 def _name_open(percent: int):
     def run(batches):
         for group in runs(batches, BLOCK_KEYS):
-            seen: set[int] = set()
+            seen = np.zeros(group.num_rows, bool)
             for i, js, _ in _plausible(group, percent):
-                seen.add(i)
-                seen.update(js.tolist())
-            rows = pa.array(sorted(seen), pa.int64())
+                seen[i] = seen[js] = True
+            rows = pa.array(np.flatnonzero(seen), pa.int64())
             for batch in group.select([*BLOCK_KEYS, "node"]).take(rows).to_batches():
                 yield batch
     return run
