@@ -242,7 +242,7 @@ def _repeated(packed: DataFrame, buckets: int, width: int) -> DataFrame:
                     own = _joined([row], number)[0]
                     yield _dealt(own, list(number), buckets)
                 continue
-            number = {}
+            number, marked = {}, [np.zeros(0, np.int64)]
             for turn in range(PASSES):
                 own, prints = _joined(_rows(group), number, width, turn)
                 if not len(own):
@@ -251,7 +251,8 @@ def _repeated(packed: DataFrame, buckets: int, width: int) -> DataFrame:
                 prints, own = prints[order], own[order]
                 start = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
                 shared = np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start)
-                yield _dealt(own[np.repeat(shared, np.diff(np.append(start, len(own))))], list(number), buckets)
+                marked.append(own[np.repeat(shared, np.diff(np.append(start, len(own))))])
+            yield _dealt(np.concatenate(marked), list(number), buckets)
 
     def gather(batches):
         for group in runs(batches, ["part"]):
