@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidewatch.llm import language
-from tidewatch.llm.language import ORDER, Models, fit, gathered, gram_counts, predict
+from tidewatch.llm.language import ORDER, Models, fit, gathered, gram_counts, predict, sample_of
 
 
 def plain(text):
@@ -90,3 +90,14 @@ def test_no_labels(spark):
     docs = spark.createDataFrame([("a text", None)], "text string, lang string")
     assert fit(docs) is None
     assert [(r.lang_pred, r.rejected) for r in predict(docs, None).collect()] == [("und", True)]
+
+
+def test_copies_and_texts_without_letters_take_no_places(spark):
+    other = ["", " ", "12 !?", *[str(i) for i in range(300)]]
+    texts = [f"text {chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    rows = [("x", t) for t in texts] + [("x", t) for t in texts[:40] for _ in range(100)] + [("x", t) for t in other] * 2
+    rows += [("y", t) for t in ("\U0001e4d0", "\u00aa", "1\U00020000")] + [("z", t) for t in other]
+    drawn = sample_of(spark.createDataFrame(rows, "lang string, text string"), 100).collect()
+    got = {x: [r.text for r in drawn if r.lang == x] for x in "xyz"}
+    assert len(got["x"]) == len(set(got["x"])) == 100 and set(got["x"]) <= set(texts)
+    assert len(got["y"]) == 3 and not got["z"]

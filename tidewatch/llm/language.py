@@ -11,8 +11,8 @@ Rejection is calibrated: on labelled texts that the models were not fitted on, t
 over its language's mean shrinks with the root of the length; ``SLACK`` times the largest scaled excess is the
 bound beyond which a text is rejected as being in none of the languages.
 
-The models are fitted on a bounded sample: the ``SAMPLE`` texts of each language with the smallest hashes, half
-for the models and half for the calibration.  All texts are scored whole.
+The models are fitted on a bounded sample: the ``SAMPLE`` distinct texts with a letter of each language with the
+smallest hashes, half for the models and half for the calibration.  All texts are scored whole.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0 and are rejected; ties go to the
 first language in alphabetical order; repeated rows get repeated results; labels that are null teach nothing;
@@ -266,11 +266,21 @@ class Models:
         self.bound = SLACK * max(float(excess.max()), 1.0)
 
 
+@lru_cache(maxsize=1)
+def _letter_class() -> str:
+    """The characters that ``_letters`` takes as letters, as a class for Java's regular expressions."""
+    known = np.flatnonzero(_letters() != 32)
+    runs = np.split(known, np.flatnonzero(np.diff(known) > 1) + 1)
+    return "[" + "".join(f"\\x{{{r[0]:X}}}-\\x{{{r[-1]:X}}}" for r in runs) + "]"
+
+
 def sample_of(labelled: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` texts of each language, those of the smallest hash; (lang, text, h)."""
+    """At most ``most`` distinct texts with a letter of each language, those of the smallest hash; (lang, text, h)."""
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select(
-        F.col("lang").cast("string"), F.col("text").cast("string"), F.xxhash64("text").alias("h"))
-    keys = rows.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+        F.col("lang").cast("string"), F.col("text").cast("string")).filter(F.col("text").rlike(_letter_class()))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    keys = rows.select("lang", "h").distinct().withColumn(
+        "r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
     last = keys.filter(F.col("r") <= most).groupBy("lang").agg(F.max("h").alias("last"))
     return rows.join(F.broadcast(last), "lang").filter(F.col("h") <= F.col("last")).dropDuplicates(["lang", "h"]).drop(
         "last")
