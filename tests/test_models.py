@@ -83,6 +83,15 @@ def test_logistic_contributions_add_up(book):
     assert max(offsets) - min(offsets) < 1e-5                # the same base value for every row
 
 
+def test_boosting_runs_all_rounds_on_all_rows(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, float(x), int(y)) for i, (x, y) in enumerate(zip(rng.normal(size=300), rng.random(300) < 0.5))]
+    noise = spark.createDataFrame(rows, "id bigint, charges double, y int")
+    learner = models.fit(noise, models.Spec("id", "y", [], ["charges"], rounds=25)).stages[-1]
+    assert learner.getNumTrees == 25
+    assert all(t._call_java("rootNode").impurityStats().rawCount() == 300 for t in learner.trees)
+
+
 def test_importances_are_shares(bundle):
     got = {r["feature"]: r["importance"] for r in bundle.importances.collect()}
     assert set(got) == {"contract", "tenure", "charges"} and sum(got.values()) == pytest.approx(1, abs=1e-5)
