@@ -101,3 +101,21 @@ def test_copies_and_texts_without_letters_take_no_places(spark):
     got = {x: [r.text for r in drawn if r.lang == x] for x in "xyz"}
     assert len(got["x"]) == len(set(got["x"])) == 100 and set(got["x"]) <= set(texts)
     assert len(got["y"]) == 3 and not got["z"]
+
+
+def test_mislabelled_texts_do_not_lift_the_bound(spark):
+    draw = random.Random(4)
+    words = {lang: ["".join(draw.choices(letters, k=draw.randint(2, 7))) for _ in range(150)]
+             for lang, letters in (("a", "aeilmnorst"), ("b", "adeghiknuw"), ("c", "bcefjopvyz"))}
+
+    def text(lang):
+        return " ".join(draw.choices(words[lang], k=60))
+
+    def junk():
+        return "".join(draw.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=2000))
+
+    rows = [(x, text(x)) for x in "ab" for _ in range(400)] + [(x, junk()) for x in "ab" for _ in range(2)]
+    rows += [("a", text("c"))]
+    models = fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert sum(models.predict([text("c") for _ in range(100)])[3]) == 100
+    assert sum(models.predict([text(x) for x in "ab" for _ in range(100)])[3]) <= 2

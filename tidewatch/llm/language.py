@@ -8,8 +8,9 @@ already interpolated); n-grams that no language has seen take a lower order's af
 which has a sorted array of its own.  The language with the lowest cross-entropy per character wins.
 
 Rejection is calibrated: on labelled texts that the models were not fitted on, the excess of the cross-entropy
-over its language's mean shrinks with the root of the length; ``SLACK`` times the largest scaled excess is the
-bound beyond which a text is rejected as being in none of the languages.
+over its language's median shrinks with the root of the length; ``SLACK`` times the ``SURE`` quantile of a
+language's scaled excess is the bound beyond which a text is rejected as being in none of the languages.  So single
+mislabelled texts move neither.  A language with too few texts for that quantile takes that of all languages.
 
 The models are fitted on a bounded sample: the ``SAMPLE`` distinct texts with a letter of each language with the
 smallest hashes, half for the models and half for the calibration.  All texts are scored whole.
@@ -38,6 +39,7 @@ from tidewatch.session import stage
 ORDER = 4
 SAMPLE = 1000               # texts per language; the window below drops more than that before its shuffle
 SLACK = 1.5
+SURE, ENOUGH = 0.99, 100    # the quantile, and the texts of a language that it needs
 LONGEST = 400               # characters beyond which a text's cross-entropy is taken to be as sure as it gets
 GROUP = 1 << 19             # characters scored at once
 CHARACTERS = 1 << 16        # that a text might hold; the lowest order gives each the same small chance
@@ -201,8 +203,8 @@ class Models:
             self.weight.append(np.log(weights).astype(np.float32))
             below_all, lower_grams = chance, grams
         self.unseen = -math.log(CHARACTERS)
-        self.mean = np.zeros(len(self.langs))
-        self.bound = math.inf
+        self.middle = np.zeros(len(self.langs))
+        self.bound = np.full(len(self.langs), math.inf)
 
     def _rows(self, h: list[np.ndarray], at: np.ndarray, n: int) -> np.ndarray:
         """Log-probabilities of the characters at some places after n - 1 characters each."""
@@ -249,21 +251,26 @@ class Models:
         lowest = entropy[np.arange(len(best)), best]
         odds = np.exp(-(entropy - lowest[:, None]) * sure[:, None])
         score = 1 / odds.sum(1)
-        excess = (lowest - self.mean[best]) * np.sqrt(sure)
+        excess = (lowest - self.middle[best]) * np.sqrt(sure)
         none = letters == 0
         names = [None if x else self.langs[b] for x, b in zip(none, best)]
         return ([x or "und" for x in names], np.where(none, 0.0, score), np.where(none, 0.0, lowest),
-                none | (excess > self.bound))
+                none | (excess > self.bound[best]))
 
     def calibrate(self, own: np.ndarray, letters: np.ndarray, entropy: np.ndarray) -> None:
         """From texts of the languages ``own``: their letters and cross-entropies in their own language."""
         if not len(own):
             return
+        sure = np.minimum(letters, LONGEST)
+        for k in range(len(self.langs)):
+            mine = own == k if (own == k).any() else np.ones(len(own), bool)
+            order = np.argsort(entropy[mine])
+            upto = np.cumsum(sure[mine][order])
+            self.middle[k] = entropy[mine][order][np.searchsorted(upto, upto[-1] / 2)]
+        excess = (entropy - self.middle[own]) * np.sqrt(sure)
         for k in range(len(self.langs)):
-            weight = letters * (own == k)
-            self.mean[k] = (entropy * weight).sum() / weight.sum() if weight.sum() else entropy.mean()
-        excess = (entropy - self.mean[own]) * np.sqrt(np.minimum(letters, LONGEST))
-        self.bound = SLACK * max(float(excess.max()), 1.0)
+            mine = excess[own == k] if (own == k).sum() >= ENOUGH else excess
+            self.bound[k] = SLACK * max(float(np.quantile(mine, SURE, method="lower")), 1.0)
 
 
 @lru_cache(maxsize=1)
