@@ -101,3 +101,14 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {x: root(x) for x in up}
     assert np.unique(list(got)).size == len(got)
+
+
+def test_rows_of_one_id_are_decided_by_their_own_texts(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, one), (5, one), (5, two), (6, two), (7, one), (7, two), (7, three), (8, two + " end"), (8, two), (9, None),
+            (9, three + " end"), (2, "x y"), (2, "x z"), (3, "w " + one), (3, "v " + one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.text or "") for r in drop_near_copies(docs).collect())
+    assert got == sorted([(1, one), (5, two), (7, three), (9, ""), (2, "x y"), (2, "x z")])
+    linked = spark.createDataFrame([(4, one), (4, one + " end")], "doc_id long, text string")
+    assert drop_near_copies(linked).count() == 1

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.base import query, runs, table
+from tidewatch.llm.base import extended, query, runs, table
 from tidewatch.llm.components import components
 from tidewatch.llm.shingles import mix, shingle_set, words
 from tidewatch.session import stage
@@ -275,10 +275,8 @@ def _compare_open(percent: int):
     return run
 
 
-def near_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per document: documents are linked when 100 times the size of
-    their sets' intersection is at least ``percent`` times that of their union; a component's id is its
-    smallest document id, and that document is kept."""
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, node, label, component_id) per document; the label is one of the component's nodes."""
     signed = stage(signatures(docs, percent), "signed")
     classes = stage(signed.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"),
@@ -315,19 +313,46 @@ def near_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
     grouped = classes.select("node", "rep").join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node"))
     least = grouped.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = grouped.join(least, "label").select("node", "component_id")
+    named = grouped.join(least, "label").select("node", "label", "component_id")
     own = signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    return own.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return own.select("doc_id", "n_shingles", "node", "label", component.alias("component_id"))
+
+
+def near_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per document: documents are linked when 100 times the size of
+    their sets' intersection is at least ``percent`` times that of their union; a component's id is its
+    smallest document id, and that document is kept."""
+    return _grouped(docs, percent).select("doc_id", "n_shingles", "component_id", F.coalesce(
+        F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _with_node(docs: DataFrame) -> DataFrame:
+    """``docs`` with __tw_id and __tw_node: the id as a number, and the name of the text's set, empty for no set."""
+    schema = extended(docs.schema, __tw_id="long", __tw_node="binary")
+    source = docs.select(docs["text"].cast("string").alias("__tw_text"), *[docs[c] for c in docs.columns],
+                         docs["doc_id"].cast("long").alias("__tw_id"))
+
+    def run(batches):
+        for batch in batches:
+            nodes = [_node(x) if len(x) else b"" for x in _sets(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(nodes, pa.binary())], names=schema.names)
+
+    return source.mapInArrow(run, schema)
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group: that of the smallest id, and one row of it."""
-    found = near_copies(docs, percent).filter("kept").select("doc_id").filter("doc_id IS NOT NULL").distinct()
-    stay = docs.join(found, docs["doc_id"].cast("long") == found["doc_id"], "left_semi")
-    return stay.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """``docs`` with one document of each group: that of the smallest id, and one row of it.  Rows of one id whose
+    texts are in different groups are decided each by its own group."""
+    found = _grouped(docs, percent).filter("doc_id = component_id").select(
+        F.col("doc_id").alias("__tw_id"), F.coalesce("node", F.lit(b"")).alias("__tw_node"), "label")
+    # of linked texts under the smallest id one stays
+    chosen = found.groupBy("__tw_id", "label").agg(F.min("__tw_node").alias("__tw_node")).drop("label")
+    key = ["__tw_id", "__tw_node"]
+    stay = _with_node(docs.filter(F.col("doc_id").cast("long").isNotNull())).join(chosen, key, "left_semi")
+    return stay.dropDuplicates(key).select(*docs.columns).unionByName(
+        docs.filter(F.col("doc_id").cast("long").isNull()))
 
 
 SQL = """
