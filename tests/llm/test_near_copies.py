@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from tidewatch.llm import near_copies as near_copies_module
 from tidewatch.llm.components import components
 from tidewatch.llm.near_copies import drop_near_copies, near_copies
 from tidewatch.llm.shingles import shingle_set, words
@@ -112,3 +113,15 @@ def test_rows_of_one_id_are_decided_by_their_own_texts(spark):
     assert got == sorted([(1, one), (5, two), (7, three), (9, ""), (2, "x y"), (2, "x z")])
     linked = spark.createDataFrame([(4, one), (4, one + " end")], "doc_id long, text string")
     assert drop_near_copies(linked).count() == 1
+
+
+def test_bands_of_small_sets_agree_as_often_as_stated():
+    draw, bands = np.random.default_rng(12), near_copies_module.bands_for(80)
+    sets = []
+    for _ in range(1500):
+        members = np.unique(draw.integers(0, 2**63, 5, dtype=np.uint64))
+        sets += [members, members[draw.permutation(5)[:4]]]
+    values = near_copies_module.min_max(sets, bands * near_copies_module.ROWS // 2).reshape(
+        len(sets), bands, near_copies_module.ROWS)
+    # 0.8 ** 6 = 0.262; minimum and maximum of the same permutation would give 0.6 ** 3 = 0.216
+    assert abs((values[::2] == values[1::2]).all(2).mean() - 0.8 ** near_copies_module.ROWS) < 0.012

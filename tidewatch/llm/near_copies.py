@@ -65,7 +65,11 @@ def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def min_max(sets: list[np.ndarray], permutations: int) -> np.ndarray:
-    """One row per (non-empty) set: the minimum and maximum under each permutation, side by side."""
+    """One row per (non-empty) set: the minima under all permutations, then the maxima.
+
+    Both of one permutation agree less often than two independent values would (3 in 5, not 0.64, for 4 of 5 members
+    shared).  Apart, the values of a band are independent, and bands miss a pair together no more often than
+    independent ones."""
     scale, shift = _permutations(permutations)
     out = np.empty((len(sets), 2 * permutations), np.uint64)
     first, size = 0, 0
@@ -77,8 +81,8 @@ def min_max(sets: list[np.ndarray], permutations: int) -> np.ndarray:
             members = np.concatenate(part)
             for p in range(permutations):
                 placed = members * scale[p] + shift[p]
-                out[first:i + 1, 2 * p] = np.minimum.reduceat(placed, at)
-                out[first:i + 1, 2 * p + 1] = np.maximum.reduceat(placed, at)
+                out[first:i + 1, p] = np.minimum.reduceat(placed, at)
+                out[first:i + 1, permutations + p] = np.maximum.reduceat(placed, at)
             first, size = i + 1, 0
     return out
 
