@@ -6,7 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from tidewatch.llm import variants
-from tidewatch.llm.variants import FIRST, LAST, Grams, level, spelling_variants, word_keys, words
+from tidewatch.llm.variants import FIRST, LAST, Grams, level, pair_level, spelling_variants, word_keys, words
 
 COLUMNS = ("word", "form", "root", "n", "n_near", "form_n")
 
@@ -34,9 +34,17 @@ def near(a, b):
 
 
 def plain_variants(counts):
-    forms, count = {}, {}
+    forms, count, alike = {}, {}, {}
+    for w in counts:                # words that an edit parts are equal before its place or behind it
+        for part in {("head", w[:len(w) // 2]), ("head", w[:(len(w) - 1) // 2]), ("tail", w[len(w) // 2:]),
+                     ("tail", w[(len(w) + 1) // 2:])}:
+            alike.setdefault(part, set()).add(w)
+    others = {}
+    for group in alike.values():
+        for w in group:
+            others.setdefault(w, set()).update(v for v in group if near(v, w))
     for w in counts:
-        close = [v for v in counts if near(v, w)]
+        close = others.get(w, ())
         count[w] = len(close)
         best = min(close, key=lambda v: (-counts[v], v), default=None)
         forms[w] = best if best and counts[best] >= 2 * counts[w] else None
@@ -89,7 +97,7 @@ def test_grams_cover_and_bound():
     marked = FIRST + "nation" + LAST
     cut = grams.cut(marked)
     assert [marked[a:b] for a, b in cut] == ["\x01n", "na", "at", "tion", "n\x02"]
-    assert grams.destroyed(marked, cut) >= 2 and level(5) == 2 and level(400) == variants.DEEPEST
+    assert grams.destroyed(marked, cut) >= 2 and level(5) == 3 and level(400) == pair_level(400) == variants.DEEPEST
 
 
 def test_equals_brute_force(spark, monkeypatch):

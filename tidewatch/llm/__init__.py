@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 SUBJECTS = ["token_file", "decontaminate", "language", "search", "shards", "pieces", "secrets", "chat", "near_copies",
-            "repeats", "variants"]
+            "repeats", "variants", "passages", "alignment"]
 
 
 def load():

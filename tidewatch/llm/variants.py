@@ -13,7 +13,7 @@ Two words are near if one inserted, deleted or replaced character makes them equ
    the largest such count.  That is the word's own bound;
 4. lists are kept per (first ``x`` grams, last ``level - x`` grams).  Near words whose bound, either one's, reaches
    the level meet in a list for some ``x``.  The level grows with the length of the shorter word.  Words
-   whose bound is too low meet in a second set of lists under bigrams alone, whose bound is always enough;
+   whose bound is too low meet in a second set of lists under bigrams alone, of which an edit destroys two;
 5. words of a list are compared, only those a character apart are links.
 
 The lists are joined on a hash, so they are spread like any equi join, and adaptive execution splits long ones.
@@ -25,18 +25,20 @@ table gives an empty result; columns beside ``doc_id`` and ``text`` are not look
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from collections import Counter
+from zlib import crc32
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from tidewatch.llm.base import query, table
 from tidewatch.session import stage
 
-RUN = r"[A-Za-zÀ-ÿ]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# letters are A-Z, a-z and U+00C0 to U+00FF; the first are lowered, all else becomes blank
+_FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 192 else 32 for b in range(256))
+HELD_WORDS, HELD_BYTES = 300_000, 64 << 20      # that a task adds up before it hands them on
 FIRST, LAST = "\x01", "\x02"        # end marks
 SHORT, LONG = 2, 3                  # lengths of grams
 LONG_SHARE, RARE_SHARE = 1 / 1300, 1 / 130_000
@@ -44,19 +46,52 @@ DEEPEST = 16                        # grams that a list's words agree in, at mos
 KEYS = "key long, longer boolean, word string, n long"
 
 
+def _words_of(doc_id, text: str, slip: int, into: Counter) -> None:
+    """Add the words of a text: letters have one byte each in Latin-1, so the rest can be blanked bytewise."""
+    runs = Counter(text.encode("latin-1", "replace").translate(_FOLDED).split())
+    if not slip:
+        into.update(runs)
+        return
+    seed = crc32(f"{'' if doc_id is None else doc_id}:".encode())
+    for run, n in runs.items():
+        h = crc32(run if run.isascii() else run.decode("latin-1").encode(), seed)
+        if h % slip == 0:
+            k = h % len(run)
+            run = run[:k] + run[k + 1:]
+        into[run] += n
+
+
 def words(docs: DataFrame, slip: int = 0) -> DataFrame:
     """(word, n): runs of letters in lower case and how often they occur.  Where ``slip`` divides the CRC-32 h of
-    ``doc_id:run``, the run loses its character h modulo its length, which stands for a typing error."""
-    run = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
-                      F.explode(F.regexp_extract_all("text", F.lit(RUN), F.lit(0))).alias("run"))
-    run = run.select("id", F.when(F.col("run").rlike("[A-Z]"), F.translate("run", UPPER, LOWER))
-                     .otherwise(F.col("run")).alias("word"))
-    if slip:
-        h = run.withColumn("h", F.crc32(F.concat("id", F.lit(":"), "word").cast("binary")))
-        at = (F.col("h") % F.char_length("word")).cast("int")
-        cut = F.concat(F.substring("word", F.lit(1), at), F.substring("word", at + 2, F.char_length("word")))
-        run = h.select(F.when(F.col("h") % slip == 0, cut).otherwise(F.col("word")).alias("word"))
-    return run.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    ``doc_id:run``, the run loses its character h modulo its length, which stands for a typing error.
+
+    A task adds up the words of many documents before it hands them on."""
+    def run(batches):
+        counted: Counter = Counter()
+        read = 0
+
+        def flush():
+            held = list(counted.items())
+            counted.clear()
+            for at in range(0, len(held), 1 << 14):
+                part = held[at:at + (1 << 14)]
+                yield pa.RecordBatch.from_arrays([pa.array([w.decode("latin-1") for w, _ in part], pa.string()),
+                                                  pa.array([n for _, n in part], pa.int64())], names=["word", "n"])
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py()
+                if text:
+                    _words_of(doc_id, text, slip, counted)
+                    read += len(text)
+                if read > HELD_BYTES or len(counted) > HELD_WORDS:
+                    yield from flush()
+                    read = 0
+        yield from flush()
+
+    found = docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string")).mapInArrow(
+        run, "word string, n long")
+    return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def gram_dictionary(vocabulary: DataFrame, longest: int = LONG) -> frozenset[str]:
@@ -99,36 +134,54 @@ class Grams:
 
     def destroyed(self, word: str, grams: list[tuple[int, int]]) -> int:
         """The largest number of neighbouring grams that one edit of the marked word may destroy."""
-        starts, ends = [g[0] for g in grams], [g[1] for g in grams]
-        worst, n = 0, len(word)
+        n, most = len(word), self.most
+        from_, before, ended = [len(grams)] * (n + 2), [0] * (n + 2), [0] * (n + 2)
+        for k, (start, end) in enumerate(grams):
+            from_[start], before[start + 1], ended[end] = k, k + 1, k + 1
+        for i in range(n, -1, -1):
+            from_[i] = min(from_[i], from_[i + 1])          # the first gram that starts at i or later
+        for i in range(1, n + 2):
+            before[i] = max(before[i], before[i - 1])       # how many start before i
+            ended[i] = max(ended[i], ended[i - 1])          # how many end at i or earlier
+        worst = 0
         for i in range(1, n):
-            first = next((p for p in range(max(0, i - self.most + 1), i - SHORT + 1) if word[p:i] in self.heads), i)
-            low = min(bisect_left(starts, first), bisect_right(ends, i))
+            first = i
+            for p in range(max(0, i - most + 1), i - SHORT + 1):
+                if word[p:i] in self.heads:
+                    first = p
+                    break
+            low = min(from_[first], ended[i])
             # an insertion before i, or a change of the character at i, which an end mark never is
             for behind in (i, i + 1) if i < n - 1 else (i,):
-                last = next((e for e in range(min(n, behind + self.most - 1), behind + SHORT - 1, -1)
-                             if word[behind:e] in self.inner), behind)
-                worst = max(worst, max(bisect_left(starts, behind), bisect_right(ends, last)) - low)
+                last = behind
+                for e in range(min(n, behind + most - 1), behind + SHORT - 1, -1):
+                    if word[behind:e] in self.inner:
+                        last = e
+                        break
+                worst = max(worst, max(before[behind], ended[last]) - low)
         return worst
 
 
 def level(length: int) -> int:
     """How many grams two near words must share at the ends, for the length of the shorter one."""
-    return min(length // 2, DEEPEST)
+    return min(length // 2 + 1, DEEPEST)
+
+
+def pair_level(length: int) -> int:
+    """The same under bigrams alone, of which an edit destroys two."""
+    return min(max(length - 1, 0), DEEPEST)
 
 
 def _list_keys(word: str, grams: list[tuple[int, int]], depth: int, label: str) -> list[int]:
     """Hashes of (first x grams, last depth - x grams), for every x."""
-    left, right = xxhash.xxh3_64(), xxhash.xxh3_64()
-    heads, tails = [left.intdigest()], [right.intdigest()]
-    for k in range(min(depth, len(grams))):
-        left.update(word[grams[k - 1][1] if k else 0:grams[k][1]].encode() + b"/")
-        right.update(word[grams[-k - 1][0]:grams[-k][0] if k else len(word)].encode() + b"/")
-        heads.append(left.intdigest())
-        tails.append(right.intdigest())
     if len(grams) < depth:
         return []
-    return [xxhash.xxh3_64_intdigest(f"{label}/{x}/{heads[x]}/{tails[depth - x]}") - 2**63 for x in range(depth + 1)]
+    out = []
+    for x in range(depth + 1):
+        head = word[:grams[x - 1][1]] if x else ""
+        tail = word[grams[x - depth][0]:] if x < depth else ""
+        out.append(xxh3_64_intdigest(f"{label}/{x}/{head}/{tail}") - 2**63)
+    return out
 
 
 def word_keys(word: str, grams: Grams, pairs: Grams) -> list[tuple[int, bool]]:
@@ -140,11 +193,11 @@ def word_keys(word: str, grams: Grams, pairs: Grams) -> list[tuple[int, bool]]:
     out = []
     # near words differ in length by one at most; the level of the shorter one holds for both
     for base, longer in ((len(word), False), (len(word) - 1, True)):
-        depth = level(base)
-        out += [(k, longer) for k in _list_keys(marked, cut, depth, f"g{base}")]
-        if bound < depth:
+        found = _list_keys(marked, cut, level(base), f"g{base}")
+        if bound < level(base):
             short = short or pairs.cut(marked)
-            out += [(k, longer) for k in _list_keys(marked, short, depth, f"p{base}")]
+            found += _list_keys(marked, short, pair_level(base), f"p{base}")
+        out += [(k, longer) for k in found]
     return out
 
 
@@ -158,9 +211,11 @@ def near_words(vocabulary: DataFrame, longest: int = LONG) -> DataFrame:
         for batch in batches:
             made: list[list] = [[], [], [], []]
             for word, n in zip(*[c.to_pylist() for c in batch.columns]):
-                for key, longer in word_keys(word, grams, pairs):
-                    for column, value in zip(made, (key, longer, word, n)):
-                        column.append(value)
+                found = word_keys(word, grams, pairs)
+                made[0] += [key for key, _ in found]
+                made[1] += [longer for _, longer in found]
+                made[2] += [word] * len(found)
+                made[3] += [n] * len(found)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(made, (pa.int64(), pa.bool_(), pa.string(), pa.int64()))],
                 names=[c.split()[0] for c in KEYS.split(", ")])
