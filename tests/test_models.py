@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidewatch.operators.snapshots import FEATURES
-from tidewatch.plans import attribution, backtest, models, registry
+from tidewatch.plans import attribution, backtest, models, nested, registry
 from tidewatch.session import scratch_path
 
 SPEC = models.Spec("id", "y", ["contract"], ["tenure", "charges"], rounds=3)
@@ -128,9 +128,9 @@ def test_gate_and_registry(spark, book):
 def test_deployments_only_know_matured_snapshots():
     cutoffs = [dt.datetime(2010, m, 1) for m in range(6, 13)]
     for at in cutoffs[4:]:
-        dep = backtest.deploy(cutoffs, at)
-        assert dep.newest <= at - dt.timedelta(days=90) and dep.previous < dep.newest
-    assert backtest.deploy(cutoffs, dt.datetime(2010, 11, 1)).newest == dt.datetime(2010, 8, 1)
+        _, newest, previous = backtest.deploy(cutoffs, at)
+        assert newest <= at - dt.timedelta(days=90) and previous < newest
+    assert backtest.deploy(cutoffs, dt.datetime(2010, 11, 1))[1] == dt.datetime(2010, 8, 1)
 
 
 def test_replay_rules(spark):
@@ -157,3 +157,37 @@ def test_replay_rules(spark):
     summary = {r["policy"]: r for r in backtest.summarise(out).collect()}
     assert summary["static"]["retrains"] == 0 and summary["monthly"]["retrain_months"] == ["2010-07", "2010-08"]
     assert backtest.pivot_auc(out).count() == 3
+
+
+def test_nested_fits_equal_single_ones(spark):
+    rng = np.random.default_rng(4)
+    rows = [(dt.datetime(2010, 1 + m, 1), i, float(a), float(b * 1000), 7.0, int(rng.random() < 1 / (1 + np.exp(1 - a - b * m))))
+            for m in range(5) for i, (a, b) in enumerate(rng.normal(size=(150, 2)))]
+    snaps = spark.createDataFrame(rows, "cutoff timestamp_ntz, id bigint, a double, b double, flat double, y int").cache()
+    newest = [dt.datetime(2010, m, 1) for m in (2, 3, 5)]
+    made = nested.fit_nested(snaps, newest, "y", ["a", "b", "flat"])
+    scored = nested.nested_scores(snaps, made, {newest[0]: newest[1]}, "id", "y")
+    assert scored.count() == 450
+    spec = models.Spec("id", "y", [], ["a", "b", "flat"], learner="logistic")
+    for i, at in enumerate(newest):
+        train = snaps.filter(F.col("cutoff") <= F.lit(at).cast("timestamp_ntz"))
+        pipe = models.build_pipeline(spec)
+        pipe.getStages()[-1].setTol(1e-14).setMaxIter(1000)
+        one = pipe.fit(models.with_positive_weight(train, "y"))
+        assert made.slope[i] == pytest.approx(one.stages[-1].coefficients.toArray(), rel=1e-5, abs=1e-6)
+        assert made.intercept[i] == pytest.approx(one.stages[-1].intercept, abs=1e-6)
+        weights = {r["feature"]: r["importance"] for r in models.importances(one, spec, train).collect()}
+        assert {f: w for a, f, w in made.importances() if a == at} == pytest.approx(weights, abs=2e-6)
+
+
+def test_triggered_chain(spark):
+    day = [dt.datetime(2010, m, 1) for m in range(1, 13)]
+    fires = {(1, 3), (1, 4), (3, 4), (4, 4), (4, 9), (5, 6), (9, 11)}
+    rows = [(day[a], day[m], (a, m) in fires) for a in range(12) for m in range(a, 12)]
+    read = spark.createDataFrame(rows, "at timestamp_ntz, month timestamp_ntz, trigger_fired boolean")
+    chain = backtest.triggered(read, day[1])
+    assert sorted(r["at"] for r in chain.collect()) == [day[i] for i in (1, 3, 4, 9, 11)]
+    months = spark.createDataFrame([(d,) for d in day[1:]], "month timestamp_ntz")
+    got = {r["month"]: (r["monitored"], r["serving"]) for r in backtest.plan("drift_triggered", months, day[1], chain).collect()}
+    assert got[day[1]] == (day[1], day[1]) and got[day[3]] == (day[1], day[3]) and got[day[4]] == (day[3], day[4])
+    assert got[day[8]] == (day[4], day[4]) and got[day[11]] == (day[9], day[11])

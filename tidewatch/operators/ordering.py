@@ -73,7 +73,11 @@ def exact_quantiles(df: DataFrame, key: str, value: str, probs: list[float]) ->
     Returns ``(counts, edges)``: ``counts(key, value, n)`` is the pre-aggregated column (useful for
     histograms over the same data), ``edges(key, total, quantiles array)`` one row per key.
     """
-    counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+    return quantiles_of_counts(df.groupBy(key, value).agg(F.count(F.lit(1)).alias("n")), key, value, probs)
+
+
+def quantiles_of_counts(counts: DataFrame, key: str, value: str, probs: list[float]) -> tuple[DataFrame, DataFrame]:
+    """``exact_quantiles`` of values that come counted, as (key, value, n)."""
     placed = positioned(counts, [key, value], "quantiles")
     ranked = running_over(placed, [key], {"before": F.col("n")})
     totals = placed.groupBy(key).agg(F.sum("n").alias("total"))
