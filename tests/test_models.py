@@ -8,8 +8,9 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from tidewatch.operators import drift
 from tidewatch.operators.snapshots import FEATURES
-from tidewatch.plans import attribution, backtest, models, nested, registry
+from tidewatch.plans import attribution, backtest, models, nested, nested_drift, registry
 from tidewatch.session import scratch_path
 
 SPEC = models.Spec("id", "y", ["contract"], ["tenure", "charges"], rounds=3)
@@ -191,3 +192,20 @@ def test_triggered_chain(spark):
     got = {r["month"]: (r["monitored"], r["serving"]) for r in backtest.plan("drift_triggered", months, day[1], chain).collect()}
     assert got[day[1]] == (day[1], day[1]) and got[day[3]] == (day[1], day[3]) and got[day[4]] == (day[3], day[4])
     assert got[day[8]] == (day[4], day[4]) and got[day[11]] == (day[9], day[11])
+
+
+def test_nested_psi_equals_profiles_of_each_model(spark):
+    rng = np.random.default_rng(6)
+    day = [dt.datetime(2010, m, 1) for m in range(1, 7)]
+    rows = [(d, float(rng.integers(0, 9)), float(rng.normal(m, 2)), 3.0, float(rng.random() < 0.02))
+            for m, d in enumerate(day) for _ in range(60 + 30 * m)]
+    snaps = spark.createDataFrame(rows, "cutoff timestamp_ntz, few double, many double, flat double, rare double").cache()
+    names, newest = ["few", "many", "flat", "rare"], {day[1]: day[3], day[2]: day[4], day[4]: day[5]}
+    got = {(r["model"], r["cutoff"], r["feature"]): r["psi"] for r in nested_drift.nested_psi(snaps, names, newest).collect()}
+    for model, since in newest.items():
+        profile = drift.build_profile(snaps.filter(F.col("cutoff") <= F.lit(model).cast("timestamp_ntz")), [], names)
+        for at in (d for d in day if d >= since):
+            month = snaps.filter(F.col("cutoff") == F.lit(at).cast("timestamp_ntz"))
+            for r in drift.feature_psi(profile, month, [], names).collect():
+                assert got.pop((model, at, r["feature"]), 0.0) == pytest.approx(r["psi"], abs=1e-12)
+    assert not got

@@ -306,9 +306,10 @@ _CALLS = f"""{EVENTS}, calls AS (SELECT id, visitor,
     CASE WHEN k % 2 = 0 THEN k * 10 END AS cache_read, CASE WHEN k % 3 = 0 THEN k * 7 END AS cache_write FROM ev),
 prices(model, p_in, p_out, p_read, p_write) AS (VALUES {price_values()}),
 top AS (SELECT * FROM prices ORDER BY p_in DESC, p_out DESC, p_read DESC, p_write DESC LIMIT 1),
-cost AS (SELECT c.*, (input_tokens * coalesce(p.p_in, t.p_in) + output_tokens * coalesce(p.p_out, t.p_out)
-    + coalesce(cache_read, 0) * coalesce(p.p_read, t.p_read)
-    + coalesce(cache_write, 0) * coalesce(p.p_write, t.p_write)) / 1e6 AS usd
+cost AS (SELECT c.*, CAST(input_tokens * round(coalesce(p.p_in, t.p_in) * 1000)
+    + output_tokens * round(coalesce(p.p_out, t.p_out) * 1000)
+    + coalesce(cache_read, 0) * round(coalesce(p.p_read, t.p_read) * 1000)
+    + coalesce(cache_write, 0) * round(coalesce(p.p_write, t.p_write) * 1000) AS BIGINT) AS nano, nano / 1e9 AS usd
   FROM calls c LEFT JOIN prices p USING (model), top t)"""
 
 
@@ -328,21 +329,25 @@ def call_cost(spark, folder):
     return costed.select("id", "model", F.round("usd", 9).alias("usd"))
 
 
+_EXACT = "CAST(round(CAST(sum(nano) AS DECIMAL(28, 0)) * 0.000000001::DECIMAL(10, 9), 6) AS DOUBLE) AS usd"
+
+
 @query("cost_totals", f"""WITH {_CALLS} SELECT model, count(*) AS calls,
   CAST(sum(input_tokens + coalesce(cache_read, 0) + coalesce(cache_write, 0)) AS BIGINT) AS input_tokens,
-  CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(usd), 6) AS usd FROM cost GROUP BY model""")
+  CAST(sum(output_tokens) AS BIGINT) AS output_tokens, {_EXACT} FROM cost GROUP BY model""")
 def cost_totals(spark, folder):
     costed = usage.with_cost(_calls(spark, folder), usage.price_table(spark))
-    return usage.cost_totals(costed, ["model"]).withColumn("usd", F.round("usd", 6))
+    return usage.cost_totals(costed, ["model"]).withColumn("usd", F.round("usd", 6).cast("double"))
 
 
-@query("cost_per_question", f"""WITH {_CALLS} SELECT id, count(*) AS calls,
+@query("cost_per_question", f"""WITH {_CALLS} SELECT id // 4 AS question, count(*) AS calls,
   CAST(sum(input_tokens + coalesce(cache_read, 0) + coalesce(cache_write, 0)) AS BIGINT) AS input_tokens,
-  CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(usd), 6) AS usd FROM cost GROUP BY id""")
+  CAST(sum(output_tokens) AS BIGINT) AS output_tokens, {_EXACT} FROM cost GROUP BY id // 4""")
 def cost_per_question(spark, folder):
-    """Tokens and dollars of every question."""
-    costed = usage.with_cost(_calls(spark, folder), usage.price_table(spark))
-    return usage.cost_totals(costed, ["id"]).withColumn("usd", F.round("usd", 6))
+    """Tokens and dollars of every question, which takes several model calls (four here)."""
+    calls = _calls(spark, folder).withColumn("question", F.expr("id DIV 4"))
+    costed = usage.with_cost(calls, usage.price_table(spark))
+    return usage.cost_totals(costed, ["question"]).withColumn("usd", F.round("usd", 6).cast("double"))
 
 
 @query("event_latest_state", f"""WITH {EVENTS}, ch AS (

@@ -101,13 +101,19 @@ def top_drivers(factors: Column | str, n: int = 3) -> Column:
         f["feature"].alias("feature"), f["value"].alias("value"), F.round(-f["neg"], 4).alias("impact")))
 
 
+def cost_nano(tokens_in: Column, tokens_out: Column, cache_read: Column, cache_write: Column,
+              prices: Column) -> Column:
+    """Cost of one call in whole billionths of a dollar, so that sums are exact; ``prices`` is a struct
+    (p_in, p_out, p_read, p_write) in $ per million, with three digits at most."""
+    parts = [(tokens_in, "p_in"), (tokens_out, "p_out"), (cache_read, "p_read"), (cache_write, "p_write")]
+    amounts = [F.coalesce(n.cast("bigint"), F.lit(0)) * F.rint(prices[p] * 1000).cast("bigint") for n, p in parts]
+    return amounts[0] + amounts[1] + amounts[2] + amounts[3]
+
+
 def cost_usd(tokens_in: Column, tokens_out: Column, cache_read: Column, cache_write: Column,
              prices: Column) -> Column:
-    """Cost of one call; ``prices`` is a struct (p_in, p_out, p_read, p_write) in $ per million."""
-    zero = F.lit(0)
-    return (tokens_in * prices["p_in"] + tokens_out * prices["p_out"]
-            + F.coalesce(cache_read, zero) * prices["p_read"]
-            + F.coalesce(cache_write, zero) * prices["p_write"]) / F.lit(1e6)
+    """The same in dollars."""
+    return cost_nano(tokens_in, tokens_out, cache_read, cache_write, prices) / F.lit(1e9)
 
 
 def fits(budget: float, used: Column, reserve: float) -> Column:

@@ -142,7 +142,7 @@ def drift_verdict(psi: DataFrame, importances: DataFrame, n_rows: int | None = N
     the curve may be numbers or scalar subqueries.
     """
     if n_rows is not None and n_rows < MIN_BATCH:
-        raise ValueError(f"{n_rows} rows are too few for a drift verdict, which takes {MIN_BATCH}")
+        raise ValueError(f"a drift verdict takes at least {MIN_BATCH} rows, not {n_rows}")
     now, then = (x if isinstance(x, Column) else F.lit(x).cast("double") for x in (auc, reference_auc))
     drop = then - now
     performance = F.coalesce(drop > AUC_DROP_THRESHOLD, F.lit(False))

@@ -7,11 +7,12 @@ prefix sums (see ordering.running): neither a busy day nor a heavy visitor has t
 from __future__ import annotations
 
 from collections.abc import Mapping
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.rules import PRICES, cost_usd, fits
+from tidewatch.functions.rules import PRICES, cost_nano, fits
 from tidewatch.operators.ordering import running
 
 USD = "decimal(10,5)"
@@ -102,7 +103,8 @@ def price_table(spark, prices: Mapping[str, tuple] = PRICES) -> DataFrame:
 
 
 def with_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
-    """Cost per call (model, input_tokens, output_tokens, cache_read, cache_write).
+    """Cost per call (model, input_tokens, output_tokens, cache_read, cache_write), in dollars and in whole
+    billionths of them.
 
     Unknown models are priced like the dearest row (largest price tuple).  The price list has one row
     per model on offer.
@@ -111,19 +113,19 @@ def with_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     dearest = prices.agg(F.max(tuple_)).scalar()
     priced = calls.join(F.broadcast(prices.select("model", tuple_.alias("price"))), "model", "left")
     price = F.coalesce(F.col("price"), dearest)
-    return priced.withColumn("price", price).withColumn("usd", cost_usd(
-        F.col("input_tokens"), F.col("output_tokens"), F.col("cache_read"), F.col("cache_write"),
-        F.col("price"))).drop("price")
+    nano = cost_nano(F.col("input_tokens"), F.col("output_tokens"), F.col("cache_read"), F.col("cache_write"), price)
+    return priced.withColumn("nano", nano).withColumn("usd", F.col("nano") / F.lit(1e9)).drop("price")
 
 
 def cost_totals(costed: DataFrame, by: list[str]) -> DataFrame:
-    """Tokens (cache included on the input side) and dollars per question, model, ..."""
+    """Tokens (cache included on the input side) and dollars, exact to nine digits, per question, model, ..."""
     zero = F.lit(0)
     read, write = (F.coalesce(c, zero) for c in ("cache_read", "cache_write"))
     return costed.groupBy(*by).agg(
         F.count(F.lit(1)).alias("calls"),
         F.sum(F.col("input_tokens") + read + write).alias("input_tokens"),
-        F.sum("output_tokens").alias("output_tokens"), F.sum("usd").alias("usd"))
+        F.sum("output_tokens").alias("output_tokens"),
+        (F.sum(F.col("nano").cast("decimal(18,0)")) * F.lit(Decimal("0.000000001"))).cast("decimal(38,9)").alias("usd"))
 
 
 def quota_remaining(usage_rows: DataFrame, limits) -> DataFrame:
