@@ -75,8 +75,10 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
                 if i > start:
                     held.append(batch.slice(start, i - start))
                 if held:
-                    yield pa.Table.from_batches(held)
-                held, start, last = [], i, value
+                    group, held = pa.Table.from_batches(held), []
+                    yield group
+                    del group               # before the next one is gathered
+                start, last = i, value
         held.append(batch.slice(start))
     if held:
         yield pa.Table.from_batches(held)

@@ -210,7 +210,7 @@ def _dealt(own: np.ndarray, names: list[bytes], parts: int) -> pa.RecordBatch:
 
 
 def _rows(group: pa.Table):
-    for batch in group.to_batches(max_chunksize=4):
+    for batch in group.to_batches(max_chunksize=1):
         yield from batch.to_pylist()
 
 
@@ -234,6 +234,21 @@ def _joined(rows, number: dict[bytes, int], width: int = 0, turn: int = 0) -> tu
 
 def _repeated(packed: DataFrame, buckets: int, width: int) -> DataFrame:
     """(name, places) of the suffixes that are not alone with their fingerprint, one row per document."""
+    def shared_of(group: pa.Table) -> tuple[np.ndarray, list[bytes]]:
+        """The suffixes of a bucket that are not alone, and the documents they are numbered by."""
+        number: dict[bytes, int] = {}
+        marked = [np.zeros(0, np.int64)]
+        for turn in range(PASSES):
+            own, prints = _joined(_rows(group), number, width, turn)
+            if not len(own):
+                continue
+            order = np.argsort(prints, kind="stable")
+            prints, own = prints[order], own[order]
+            start = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
+            shared = np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start)
+            marked.append(own[np.repeat(shared, np.diff(np.append(start, len(own))))])
+        return np.concatenate(marked), list(number)
+
     def mark(batches):
         for group in runs(batches, ["bucket", "known"]):
             if group["known"][0].as_py():
@@ -241,24 +256,23 @@ def _repeated(packed: DataFrame, buckets: int, width: int) -> DataFrame:
                     number: dict[bytes, int] = {}
                     own = _joined([row], number)[0]
                     yield _dealt(own, list(number), buckets)
-                continue
-            number, marked = {}, [np.zeros(0, np.int64)]
-            for turn in range(PASSES):
-                own, prints = _joined(_rows(group), number, width, turn)
-                if not len(own):
-                    continue
-                order = np.argsort(prints, kind="stable")
-                prints, own = prints[order], own[order]
-                start = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
-                shared = np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start)
-                marked.append(own[np.repeat(shared, np.diff(np.append(start, len(own))))])
-            yield _dealt(np.concatenate(marked), list(number), buckets)
+            else:
+                own, names = shared_of(group)
+                del group                   # its buffers go before the marks are packed
+                pa.default_memory_pool().release_unused()
+                yield _dealt(own, names, buckets)
 
     def gather(batches):
         for group in runs(batches, ["part"]):
             number: dict[bytes, int] = {}
-            own = np.unique(_joined(_rows(group), number)[0])
+            parts = [np.zeros(0, np.int64)]
+            for row in _rows(group):
+                parts.append(_joined([row], number)[0])
+            del group, row
+            pa.default_memory_pool().release_unused()
+            own = np.unique(np.concatenate(parts))
             names = list(number)
+            del parts, number
             which, first = np.unique(own >> 32, return_index=True)
             for at in range(0, len(which), 1000):
                 docs = which[at:at + 1000]
