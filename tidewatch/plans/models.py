@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from math import ceil
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -17,11 +18,13 @@ from pyspark.sql import functions as F
 from tidewatch.operators import metrics
 from tidewatch.operators.drift import build_profile
 from tidewatch.operators.sampling import stratified_folds, stratified_split
-from tidewatch.session import stage
+from tidewatch.session import scratch_root, stage
 
 # fixed values: hyperparameters of the boosted trees
 ROUNDS, DEPTH, RATE, SEED = 200, 4, 0.05, 42
 PARALLEL_FITS = 4
+FOLDS = 5
+PARTITION_ROWS = 25_000         # of training rows
 
 
 @dataclass(frozen=True)
@@ -84,8 +87,29 @@ def with_balanced_weight(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(weights), label)
 
 
+def _checkpoints(spark: SparkSession) -> None:
+    """Boosting writes its state every ten rounds, so that lineage does not grow with the rounds; it needs a folder."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(scratch_root(spark))
+
+
 def fit(train: DataFrame, spec: Spec) -> PipelineModel:
-    return build_pipeline(spec).fit(with_positive_weight(train, spec.label))
+    """Boosting passes over the rows hundreds of times, so they are held in as many partitions as their size asks for."""
+    weighted = with_positive_weight(train.select(spec.label, *spec.features), spec.label)
+    if spec.learner != "gbt":
+        return build_pipeline(spec).fit(weighted)
+    _checkpoints(train.sparkSession)
+    held = weighted.repartition(max(1, ceil(weighted.count() / PARTITION_ROWS))).persist()
+    try:
+        return build_pipeline(spec).fit(held)
+    finally:
+        held.unpersist()
+
+
+def fit_all(frames: dict[str, DataFrame], spec: Spec) -> dict[str, PipelineModel]:
+    """A model for each of the frames, some of them fitted at the same time."""
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        return dict(zip(frames, pool.map(lambda df: fit(df, spec), frames.values())))
 
 
 def raw_score(model: PipelineModel, df: DataFrame, name: str = "raw") -> DataFrame:
@@ -94,23 +118,31 @@ def raw_score(model: PipelineModel, df: DataFrame, name: str = "raw") -> DataFra
     return scored.select(*df.columns, vector_to_array("probability")[1].alias(name))
 
 
-def _fold(spec: Spec, folds: DataFrame, fold: int) -> DataFrame:
-    model = fit(folds.filter(F.col("fold") != fold), spec)
-    return raw_score(model, folds.filter(F.col("fold") == fold)).select(spec.key, "fold", spec.label, "raw")
+def folded(df: DataFrame, spec: Spec, k: int = FOLDS, seed: int = SEED) -> DataFrame:
+    return stage(stratified_folds(df.select(spec.key, spec.label, *spec.features), spec.key, spec.label, k, seed), "folds")
 
 
-def oof_scores(df: DataFrame, spec: Spec, k: int = 5, seed: int = SEED) -> DataFrame:
+def fold_frames(folds: DataFrame, k: int = FOLDS, name: str = "fold") -> dict[str, DataFrame]:
+    """The training rows of each fold's model."""
+    return {f"{name}{i}": folds.filter(F.col("fold") != i) for i in range(k)}
+
+
+def fold_scores(fitted: dict[str, PipelineModel], folds: DataFrame, spec: Spec, k: int = FOLDS, name: str = "fold") -> DataFrame:
     """(key, fold, label, raw): every row scored by the model that has not seen it."""
-    folds = stage(stratified_folds(df.select(spec.key, spec.label, *spec.features), spec.key, spec.label, k, seed),
-                  "folds")
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        parts = list(pool.map(lambda i: _fold(spec, folds, i), range(k)))
+    parts = [raw_score(fitted[f"{name}{i}"], folds.filter(F.col("fold") == i)).select(spec.key, "fold", spec.label, "raw")
+             for i in range(k)]
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
     return stage(out, "oof")
 
 
+def oof_scores(df: DataFrame, spec: Spec, k: int = FOLDS, seed: int = SEED) -> DataFrame:
+    """Out-of-fold scores of all rows."""
+    folds = folded(df, spec, k, seed)
+    return fold_scores(fit_all(fold_frames(folds, k), spec), folds, spec, k)
+
+
 def fold_aucs(oof: DataFrame, label: str) -> DataFrame:
     return metrics.roc_auc(oof, label, "raw", ["fold"])
 
@@ -155,7 +187,8 @@ def importances(model: PipelineModel, spec: Spec, train: DataFrame | None = None
         total[name] += float(value)
     norm = sum(total.values()) or 1.0
     rows = [(name, round(value / norm, 6)) for name, value in total.items()]      # a row per column
-    return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double")
+    spark = train.sparkSession if train is not None else SparkSession.builder.getOrCreate()
+    return spark.createDataFrame(rows, "feature string, importance double")
 
 
 @dataclass
@@ -170,10 +203,9 @@ class Bundle:
     spec: Spec
 
 
-def holdout_report(train: DataFrame, test: DataFrame, spec: Spec) -> dict:
-    """Metrics on unseen rows, decisions at the raw model's 0.5, and what calibration changes."""
-    model = fit(train, spec)
-    calibrator = fit_calibrator(oof_scores(train, spec), spec.label)
+def holdout_report(model: PipelineModel, oof: DataFrame, test: DataFrame, spec: Spec) -> dict:
+    """Metrics on unseen rows, decisions at the raw model's 0.5, and what calibration on ``oof`` changes."""
+    calibrator = fit_calibrator(oof, spec.label)
     scored = stage(calibrate(calibrator, raw_score(model, test), name="calibrated").select(
         spec.label, "raw", "calibrated"), "holdout")
     said = metrics.confusion(scored, spec.label, "raw").first()
@@ -188,7 +220,7 @@ def holdout_report(train: DataFrame, test: DataFrame, spec: Spec) -> dict:
 
 
 def train(base: DataFrame, spec: Spec, recent: DataFrame | None = None, evaluate: bool = True) -> Bundle:
-    """Hold-out evaluation, cross-validation, then a refit on all rows for serving.
+    """Hold-out evaluation, cross-validation, and a model of all rows for serving; the fits run side by side.
 
     ``recent`` are newly labelled rows appended to the base data.
     """
@@ -199,19 +231,24 @@ def train(base: DataFrame, spec: Spec, recent: DataFrame | None = None, evaluate
         n_recent = added.count()
         rows = rows.unionByName(added)
     rows = stage(rows, "training")
-    report: dict = {"n_recent_rows": n_recent}
+    folds = folded(rows, spec)
+    frames = {"serving": rows, **fold_frames(folds)}
     if evaluate:
         split = stage(stratified_split(rows, spec.key, spec.label), "split")
-        report |= holdout_report(split.filter("split = 'train'").drop("split"),
-                                 split.filter("split = 'test'").drop("split"), spec)
-    oof = oof_scores(rows, spec)
+        seen, unseen = (split.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
+        inner = folded(seen, spec)
+        frames |= {"holdout": seen, **fold_frames(inner, name="inner")}
+    fitted = fit_all(frames, spec)
+    report: dict = {"n_recent_rows": n_recent}
+    if evaluate:
+        report |= holdout_report(fitted["holdout"], fold_scores(fitted, inner, spec, name="inner"), unseen, spec)
+    oof = fold_scores(fitted, folds, spec)
     cv = metrics.cv_summary(fold_aucs(oof, spec.label)).first()
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(spec.label).alias("rate")).first()
-    model = fit(rows, spec)
-    weights = importances(model, spec, rows)
+    weights = importances(fitted["serving"], spec, rows)
     report |= {"n_rows": size["n"], "churn_rate": size["rate"], "cv_roc_auc_mean": cv["mean"],
                "cv_roc_auc_std": cv["std"]}
-    return Bundle(model, fit_calibrator(oof, spec.label), build_profile(rows, spec.categorical, spec.numeric),
+    return Bundle(fitted["serving"], fit_calibrator(oof, spec.label), build_profile(rows, spec.categorical, spec.numeric),
                   weights, report, spec)
 
 
