@@ -57,6 +57,41 @@ def test_restart_does_not_repeat_batches(spark, log):
     assert streams.batches(spark, out, DDL).count() == 120
 
 
+CHANGES = "id bigint, changed_at timestamp, seq int, outcome string, usd decimal(10,5)"
+
+
+def _file(spark, path, rows):
+    spark.createDataFrame([(i, dt.datetime(2024, 5, 1) + dt.timedelta(seconds=at), seq, outcome, Decimal(usd))
+                           for i, at, seq, outcome, usd in rows], CHANGES).coalesce(1).write.mode("append").parquet(path)
+
+
+def _live(spark, out, df):
+    return {r["id"]: (r["outcome"], float(r["usd"])) for r in streams.newest(spark, out, df.schema, ["id"]).collect()}
+
+
+def test_lifecycle_over_batches_and_restarts(spark):
+    path, out = scratch_path(spark, "changes-in"), scratch_path(spark, "lifecycle-test")
+    files = [[(1, 0, 0, "pending", "0.05"), (2, 0, 0, "pending", "0.05"), (3, 9, 1, "answered", "0.01")],
+             [(1, 5, 1, "answered", "0.02"), (3, 0, 0, "pending", "0.05"), (4, 0, 0, "pending", "0.05")],
+             [(4, 5, 1, "failed", "0"), (1, 5, 1, "answered", "0.02"), (1, 2, 0, "pending", "0.09")]]
+    for rows in files:                  # each is a new run that goes on from the state of the one before
+        _file(spark, path, rows)
+        live = streams.lifecycle(streams.folder_stream(spark, path, CHANGES))
+        streams.run_available(streams.per_batch(live, out, mode="update"))
+    assert _live(spark, out, live) == {1: ("answered", 0.02), 2: ("pending", 0.05), 3: ("answered", 0.01), 4: ("failed", 0.0)}
+
+
+def test_pending_events_expire(spark):
+    path, out = scratch_path(spark, "changes-in"), scratch_path(spark, "expiry-test")
+    for rows in ([(1, 0, 0, "pending", "0.05"), (2, 0, 0, "pending", "0.05")], [(1, 5, 1, "answered", "0.02")],
+                 [(3, 100, 0, "pending", "0.05")], [(4, 130, 0, "pending", "0.05")], [(5, 135, 0, "pending", "0.05")]):
+        _file(spark, path, rows)
+        live = streams.lifecycle(streams.folder_stream(spark, path, CHANGES), patience=60, lateness="10 seconds")
+        streams.run_available(streams.per_batch(live, out, mode="update"))
+    got = _live(spark, out, live)
+    assert got[1] == ("answered", 0.02) and got[2] == ("expired", 0.0) and got[3][0] == got[5][0] == "pending"
+
+
 STREAMS = ["stream_daily_usage", "stream_monthly_usage", "stream_sliding_hour", "stream_telemetry", "stream_routing",
            "stream_event_state", "stream_retention", "stream_quota"]
 

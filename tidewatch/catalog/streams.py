@@ -96,11 +96,11 @@ def stream_routing(spark, folder):
 SELECT id, outcome, CAST(usd AS DOUBLE) AS usd FROM ch
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY changed_at DESC, seq DESC) = 1""")
 def stream_event_state(spark, folder):
-    """Change rows appended as they come; the current state is a max_by over the log, at any lateness."""
-    changes = _changes(_events(spark, folder))
-    path = scratch_path(spark, "changes")
-    streams.run_available(streams.per_batch(changes, path))
-    state = usage.latest_state(streams.batches(spark, path, changes.schema).drop(streams.BATCH))
+    """Reservations and settlements as they come; the state of every event lives in the stream."""
+    live = streams.lifecycle(_changes(_events(spark, folder)))
+    path = scratch_path(spark, "lifecycle")
+    streams.run_available(streams.per_batch(live, path, mode="update"))
+    state = streams.newest(spark, path, live.schema, ["id"])
     return state.select("id", "outcome", F.col("usd").cast("double").alias("usd"))
 
 

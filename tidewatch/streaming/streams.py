@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from datetime import datetime
+from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 
 from tidewatch.functions.rules import TEAMS
 from tidewatch.operators import drift, quota, routing
@@ -131,6 +134,77 @@ def route_telemetry(requests: DataFrame, ts: str, route: str, seconds: str, ever
         route, "requests", "total", "largest")
 
 
+# ------------------------------------------------------------------ event lifecycle
+
+STATE = "changed_at timestamp, seq int, outcome string, usd decimal(10,5)"
+LIVE = f"id bigint, {STATE}"
+KEYED_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Lifecycle(StatefulProcessor):
+    """State of one event: reserved (pending), then settled or released by a later change.
+
+    Changes may come in any order; the newest one counts.  With a ``patience`` (seconds), an event that is still
+    pending that long after its reservation expires and costs nothing; a change that settles it afterwards still
+    counts, being newer.
+    """
+
+    def __init__(self, patience: int | None = None):
+        self.patience = patience
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", STATE)
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = self.state.get()
+        newest = before = tuple(held) if held is not None else None
+        for frame in rows:
+            for row in zip(frame["changed_at"], frame["seq"], frame["outcome"], frame["usd"]):
+                if newest is None or (row[0], row[1]) > (newest[0], newest[1]):
+                    newest = (row[0].to_pydatetime(), int(row[1]), row[2], row[3])
+        if newest == before:
+            return
+        self.state.update(newest)
+        if self.patience is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if newest[2] == "pending":
+                self.handle.registerTimer(int(newest[0].timestamp() * 1000) + self.patience * 1000)
+        yield self._row(key, newest)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        held = self.state.get()
+        if held is None or held[2] != "pending":
+            return
+        at = datetime.fromtimestamp(expiredTimerInfo.getExpiryTimeInMs() / 1000)
+        lapsed = (at, int(held[1]) + 1, "expired", Decimal(0))
+        self.state.update(lapsed)
+        yield self._row(key, lapsed)
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _row(key, state):
+        return pd.DataFrame({"id": [key[0]], "changed_at": [state[0]], "seq": [state[1]], "outcome": [state[2]],
+                             "usd": [state[3]]})
+
+
+def lifecycle(changes: DataFrame, patience: int | None = None, lateness: str = "1 day") -> DataFrame:
+    """Every new state of every event (id, changed_at, seq, outcome, usd), kept per key in the stream's own state.
+
+    Without a ``patience`` nothing expires, no watermark is needed and a change may come at any time.
+    """
+    rows = changes.select(F.col("id").cast("bigint").alias("id"), _instant("changed_at").alias("changed_at"),
+                          F.col("seq").cast("int").alias("seq"), "outcome", F.col("usd").cast("decimal(10,5)").alias("usd"))
+    if patience is not None:
+        rows = rows.withWatermark("changed_at", lateness)
+    changes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", KEYED_STATE)
+    return rows.groupBy("id").transformWithStateInPandas(
+        Lifecycle(patience), LIVE, "Update", "None" if patience is None else "EventTime")
+
+
 # ------------------------------------------------------------------ workflows
 
 def route_complaints(messages: DataFrame, classify: Callable[[DataFrame], DataFrame],
