@@ -57,16 +57,3 @@ def tfidf(corpus: DataFrame, queries: DataFrame | None, key: str, text: str,
     if queries is None:
         return own, None
     return own, weights(term_counts(queries, key, text, stop_words), vocab, key)
-
-
-def packed(weighted: DataFrame, key: str, every: DataFrame | None = None) -> DataFrame:
-    """(key, terms, weights): one sparse vector of term ids per document, sized by its own vocabulary; documents
-    of ``every`` without a known term have an empty one."""
-    entry = F.struct("term_id", "weight")
-    vectors = weighted.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("e")).select(
-        key, F.col("e.term_id").alias("terms"), F.col("e.weight").alias("weights"))
-    if every is None:
-        return vectors
-    return every.select(key).join(vectors, key, "left").select(
-        key, F.coalesce("terms", F.expr("array()").cast("array<int>")).alias("terms"),
-        F.coalesce("weights", F.expr("array()").cast("array<double>")).alias("weights"))
