@@ -1,6 +1,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.llm.chat import canonical, fits, link_tools
@@ -72,3 +73,18 @@ def test_nulls_and_empty(spark):
     got = linked(spark, rows)
     assert len(got) == len(rows) and sorted(r.position for r in got if r.conv_id == 1) == list(range(6))
     assert link_tools(spark.createDataFrame([], KIND), SCHEMAS).count() == 0
+
+
+def test_hostile_arguments():
+    from tidewatch.llm.chat import canonical, check_schema, fits, parsed
+
+    integer = {"type": "object", "properties": {"n": {"type": "integer"}}}
+    assert parsed('{"n": %s}' % ("9" * 400), integer)[1] and not parsed('{"n": NaN}', integer)[1]
+    assert parsed('{"n": "\\ud800"}', integer) == ('{"n": "\\ud800"}', False)
+    assert parsed("[" * 5000 + "]" * 5000, {})[1] is False and parsed(None, {}) == (None, False)
+    assert parsed('{"n": 1e999}', integer)[1] is False
+    assert fits(None, {"type": ["string", "null"]}) and not fits(3, {"type": ["string", "null"]})
+    assert not fits(True, {"enum": [1]}) and fits(1.0, {"enum": [1]}) and canonical([1.0, 2.5]) == "[1,2.5]"
+    assert not fits("abc", {"pattern": "^b"}) and not fits([1], {"minItems": 2}) and fits(4, {"anyOf": [{"const": 4}]})
+    with pytest.raises(ValueError, match="not supported"):
+        check_schema({"properties": {"a": {"oneOf": []}}})

@@ -125,3 +125,11 @@ def test_bands_of_small_sets_agree_as_often_as_stated():
         len(sets), bands, near_copies_module.ROWS)
     # 0.8 ** 6 = 0.262; minimum and maximum of the same permutation would give 0.6 ** 3 = 0.216
     assert abs((values[::2] == values[1::2]).all(2).mean() - 0.8 ** near_copies_module.ROWS) < 0.012
+
+
+def test_long_words_of_equal_polynomials_differ(spark):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, one), (2, two), (3, one.upper())], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_copies(docs, 85).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}

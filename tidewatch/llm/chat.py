@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,36 +38,89 @@ EVENTS = ("conv_id", "turn", "kind", "role", "content", "call_id", "after", "nam
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
+KEYWORDS = {"type", "enum", "const", "minimum", "maximum", "minLength", "maxLength", "pattern", "items", "minItems",
+            "maxItems", "properties", "required", "additionalProperties", "anyOf", "description", "title", "default"}
+
+
+def check_schema(schema: dict) -> None:
+    """Raise an error for a keyword that would not be looked at."""
+    unknown = set(schema) - KEYWORDS
+    if unknown:
+        raise ValueError(f"schema keywords {sorted(unknown)} are not supported")
+    inner = [*schema.get("properties", {}).values(), *schema.get("anyOf", ()), schema.get("items", {}),
+             schema.get("additionalProperties", {})]
+    for part in inner:
+        if isinstance(part, dict) and part:
+            check_schema(part)
+
+
+def _is(value, kind: str) -> bool:
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    if kind == "integer":
+        return number and (isinstance(value, int) or value.is_integer())
+    return number if kind == "number" else isinstance(value, TYPES[kind])
+
+
 def fits(value, schema: dict) -> bool:
-    """Whether a JSON value satisfies a schema."""
+    """Whether a JSON value satisfies a schema of the ``KEYWORDS``."""
     kind = schema.get("type")
-    number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    if kind in TYPES and not isinstance(value, TYPES[kind]):
+    if kind is not None and not any(_is(value, k) for k in ([kind] if isinstance(kind, str) else kind)):
         return False
-    if kind in ("number", "integer") and not (number and (kind == "number" or float(value).is_integer())):
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         return False
-    if "enum" in schema and value not in schema["enum"]:
+    if "const" in schema and canonical(value) != canonical(schema["const"]):
         return False
-    if number and not schema.get("minimum", -math.inf) <= value <= schema.get("maximum", math.inf):
+    if "anyOf" in schema and not any(fits(value, s) for s in schema["anyOf"]):
         return False
-    if isinstance(value, str) and not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", math.inf):
+    if _is(value, "number") and not schema.get("minimum", -math.inf) <= value <= schema.get("maximum", math.inf):
+        return False
+    if isinstance(value, str) and not (schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", math.inf)
+                                       and re.search(schema.get("pattern", ""), value)):
         return False
     if isinstance(value, list):
-        return all(fits(x, schema.get("items", {})) for x in value)
+        return (schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", math.inf)
+                and all(fits(x, schema.get("items", {})) for x in value))
     if isinstance(value, dict):
-        known = schema.get("properties", {})
+        known, others = schema.get("properties", {}), schema.get("additionalProperties", True)
         return (all(k in value for k in schema.get("required", ()))
-                and (schema.get("additionalProperties", True) or all(k in known for k in value))
-                and all(fits(v, known[k]) for k, v in value.items() if k in known))
+                and (others is not False or all(k in known for k in value))
+                and all(fits(v, known[k] if k in known else others if isinstance(others, dict) else {})
+                        for k, v in value.items()))
     return True
 
 
+def _plain(value):
+    """Whole floats as integers, so that equal numbers are written alike."""
+    if isinstance(value, float) and value.is_integer() and abs(value) < 2**53:
+        return int(value)
+    if isinstance(value, list):
+        return [_plain(v) for v in value]
+    return {k: _plain(v) for k, v in value.items()} if isinstance(value, dict) else value
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def _no_number(text: str):
+    raise ValueError(f"{text} is not JSON")
+
+
+def parsed(text: str | None, schema: dict | None) -> tuple[object, bool]:
+    """(arguments, whether they are JSON that satisfies the schema); what is not JSON, what holds half a surrogate
+    pair, and what is nested too deep to be written, stays the text that it is."""
+    try:
+        value = json.loads(text, parse_constant=_no_number)
+        canonical(value).encode()
+        return value, schema is not None and fits(value, schema)
+    except (TypeError, ValueError, RecursionError, OverflowError):
+        return text, False
 
 
 def _lines(events: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """``events`` with ``valid`` (of calls) and ``line``."""
+    for schema in schemas.values():
+        check_schema(schema)
     kinds = [f.dataType.simpleString() for f in events.schema]
     out = ", ".join(f"{c} {k}" for c, k in zip(events.columns, kinds)) + ", valid boolean, line string"
     columns, shared = events.columns, events.sparkSession.sparkContext.broadcast(schemas)
@@ -76,12 +130,8 @@ def _lines(events: DataFrame, schemas: dict[str, dict]) -> DataFrame:
             return None, canonical({"role": "tool", "tool_call_id": row["call_id"], "content": row["content"]})
         if row["kind"] != "call":
             return None, canonical({"role": row["role"], "content": row["content"]})
-        try:
-            arguments, whole = json.loads(row["arguments"]), True
-        except (TypeError, ValueError, RecursionError):
-            arguments, whole = row["arguments"], False
-        schema = shared.value.get(row["name"])
-        return whole and schema is not None and fits(arguments, schema), canonical({"role": "assistant", "tool_calls": [
+        arguments, valid = parsed(row["arguments"], shared.value.get(row["name"]))
+        return valid, canonical({"role": "assistant", "tool_calls": [
             {"id": row["call_id"], "type": "function", "function": {"name": row["name"], "arguments": arguments}}]})
 
     def run(batches):

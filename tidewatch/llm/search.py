@@ -65,7 +65,10 @@ def packed(vectors: DataFrame, size: int) -> DataFrame:
             for dim in np.unique(lengths).tolist():
                 at = np.flatnonzero(lengths == dim)
                 rows = values[starts[at][:, None] + np.arange(dim)]
-                held.setdefault(dim, []).append((ids[at], np.floor(rows * SCALE).astype(np.int64)))
+                scaled = np.floor(rows * SCALE)
+                if np.abs(scaled).max(initial=0.0) >= LARGEST:
+                    raise OverflowError("a component times 256 does not fit 64 bits")
+                held.setdefault(dim, []).append((ids[at], scaled.astype(np.int64)))
                 count[dim] = count.get(dim, 0) + len(at)
                 if count[dim] >= size:
                     yield from flush(dim)
@@ -87,11 +90,14 @@ def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     if row["q_norm"] * row["norm"] < 2.0**52:
         scores = (q.astype(np.float64) @ c.T.astype(np.float64)).astype(np.int64)
     else:
+        if row["q_norm"] * row["norm"] >= LARGEST:
+            raise OverflowError("scores do not fit 64 bits")
         scores = q @ c.T
     return q_ids, ids, scores, q_ids[:, None] != ids[None, :]
 
 
 _LOWEST = np.iinfo(np.int64).min
+LARGEST = 2.0**62
 
 
 def _top_bins(k: int):

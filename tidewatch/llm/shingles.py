@@ -2,15 +2,19 @@
 
 Words are maximal runs of bytes other than blank and 09-0D, with A-Z in lower case.  A word's hash is a
 polynomial over randomly coded bytes, a shingle's one over its words' hashes; both are the same for every
-text, so hashes can be compared across tasks.
+text, so hashes can be compared across tasks.  Polynomials modulo 2**64 are equal for some pairs of very long
+words whatever the codes, so words beyond ``LONG_WORD`` bytes have a cryptographic hash.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 SHINGLE = 5
 GROUP = 1 << 18         # bytes hashed at once
+LONG_WORD = 256
 
 _rng = np.random.default_rng(20260101)
 _fold = np.arange(256)
@@ -55,7 +59,11 @@ def _hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     up, down = powers(len(raw))
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_CODE[raw] * up, out=total[1:])
-    return start, mix((total[end] - total[start]) * down[start])
+    hashes = mix((total[end] - total[start]) * down[start])
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        word = data[start[i]:end[i]].lower()            # of bytes: A-Z only
+        hashes[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return start, hashes
 
 
 def _pieces(text: bytes):
