@@ -146,16 +146,50 @@ def playbook_known(spark, folder):
     return _played(spark, folder, True)
 
 
-@query("retention_digest", f"""WITH {_PLAYBOOK}, top AS (SELECT * FROM play WHERE tier = 'high'
-  ORDER BY churn_probability DESC, customer LIMIT 5)
+# contributions to the risk with fixed coefficients: coefficient x (value - usual value), per field
+_COEFFICIENTS = {"balance": (-0.0002, 4500.0), "orders": (-0.05, 10.0), "nation": (0.01, 0.0)}
+_IMPACTS = """impacts AS (SELECT c.customer, unnest([
+    {'feature': 'balance', 'value': CAST(CAST(c.balance AS DECIMAL(12, 2)) AS VARCHAR), 'impact': -0.0002::DOUBLE * (c.balance - 4500.0::DOUBLE)},
+    {'feature': 'orders', 'value': CAST(c.orders AS VARCHAR), 'impact': -0.05::DOUBLE * (c.orders - 10.0::DOUBLE)},
+    {'feature': 'nation', 'value': c.nation, 'impact': 0.01::DOUBLE * (CAST(replace(c.nation, 'NATION_', '') AS DOUBLE) - 0.0::DOUBLE)}]) AS f
+  FROM scored c),
+ranked AS (SELECT customer, f.feature || ' = ' || f.value AS driver, f.impact AS impact, row_number() OVER (
+    PARTITION BY customer ORDER BY f.impact DESC, f.feature) AS place FROM impacts WHERE f.impact > 0),
+drivers AS (SELECT customer, string_agg(driver, ', ' ORDER BY place) AS drivers, round(max(impact), 4) AS strongest
+  FROM ranked WHERE place <= 3 GROUP BY customer)"""
+
+
+def _driven(spark, folder):
+    """(customer, factors): the three fields that raise a customer's risk most."""
+    number = {"balance": F.col("balance"), "orders": F.col("orders"),
+              "nation": F.regexp_replace("nation", "NATION_", "").cast("double")}
+    said = {"balance": F.col("balance").cast("decimal(12,2)"), "orders": F.col("orders"), "nation": F.col("nation")}
+    impacts = F.array(*[F.struct(F.lit(f).alias("feature"), said[f].cast("string").alias("value"),
+                                 (F.lit(a) * (number[f] - F.lit(usual))).alias("impact"))
+                        for f, (a, usual) in _COEFFICIENTS.items()])
+    return scored_crm(spark, folder).select("customer", rules.top_drivers(impacts, 3).alias("factors"))
+
+
+@query("risk_drivers_fixed", f"""WITH {SCORED}, {_IMPACTS}
+SELECT s.customer, coalesce(drivers, '') AS drivers, strongest FROM scored s LEFT JOIN drivers USING (customer)""")
+def risk_drivers_fixed(spark, folder):
+    """The three strongest positive contributions of every customer as text, under fixed coefficients."""
+    return _driven(spark, folder).select(
+        "customer", F.array_join(rules.driver_text("factors"), ", ").alias("drivers"),
+        F.try_element_at("factors", F.lit(1))["impact"].alias("strongest"))
+
+
+@query("retention_digest", f"""WITH {_PLAYBOOK}, {_IMPACTS}, top AS (SELECT * FROM play LEFT JOIN drivers USING (customer)
+  WHERE tier = 'high' ORDER BY churn_probability DESC, customer LIMIT 5)
 SELECT count(*) AS customers, count(*) FILTER (WHERE tier = 'high') AS high,
   count(*) FILTER (WHERE tier = 'medium') AS medium,
   round(coalesce(sum(balance) FILTER (WHERE tier <> 'low'), 0.0), 2) AS revenue_at_risk,
-  (SELECT string_agg(printf('%s - %.0f%% - %s', CAST(customer AS VARCHAR), churn_probability * 100, offer), '|'
-     ORDER BY churn_probability DESC, customer) FROM top) AS top_customers FROM play""")
+  (SELECT string_agg(printf('%s - %.0f%% - %s', CAST(customer AS VARCHAR), churn_probability * 100,
+     coalesce(drivers, '') || ' -> ' || offer), '|' ORDER BY churn_probability DESC, customer) FROM top) AS top_customers FROM play""")
 def retention_digest(spark, folder):
-    """One row per run: tier counts, revenue at risk, the five riskiest customers."""
-    out = playbook.digest(_playbook(spark, folder), "customer", "balance")
+    """One row per run: tier counts, revenue at risk, the five riskiest customers with their drivers."""
+    drivers = _driven(spark, folder).select("customer", rules.driver_text("factors").alias("drivers"))
+    out = playbook.digest(_playbook(spark, folder).join(drivers, "customer"), "customer", "balance")
     return out.withColumn("revenue_at_risk", F.round("revenue_at_risk", 2)).withColumn(
         "top_customers", F.array_join("top_customers", "|"))
 

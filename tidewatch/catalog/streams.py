@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from tidewatch.catalog.base import query
 from tidewatch.catalog.features import _IMPORTANCE, shifted
 from tidewatch.catalog.operations import LIMITS, _changes
-from tidewatch.catalog.views import (CRM_CATEGORICAL, CRM_NUMERIC, EVENTS, INCOMING, RISK, crm, risk,
+from tidewatch.catalog.search import SLOTS
+from tidewatch.catalog.views import (COMPLAINTS, CRM_CATEGORICAL, CRM_NUMERIC, EVENTS, INCOMING, RISK, complaints, crm, risk,
                                      with_rule_category)
 from tidewatch.functions import rules, text
-from tidewatch.operators import actions, drift, playbook, usage
+from tidewatch.operators import actions, drift, embedding, playbook, usage
 from tidewatch.session import scratch_path, stage
 from tidewatch.sources.tables import table
 from tidewatch.streaming import streams
@@ -89,6 +90,38 @@ def stream_routing(spark, folder):
     return log.groupBy("team", "priority").agg(F.count(F.lit(1)).alias("complaints"))
 
 
+_BOTH = f"""{INCOMING}, {COMPLAINTS}, texts AS (SELECT 'c' || CAST(complaint_id AS VARCHAR) AS k, narrative AS t FROM cases
+  UNION ALL SELECT 'q' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR), text FROM incoming),
+{SLOTS.replace("complaint_id", "k").replace("narrative", "t").replace("FROM cases", "FROM texts")}"""
+
+
+@query("stream_similar_cases", f"""WITH {_BOTH},
+dots AS (SELECT q.k AS q, c.k AS c, sum(q.weight * c.weight) AS score FROM slots q JOIN slots c USING (slot)
+  WHERE q.k[1] = 'q' AND c.k[1] = 'c' GROUP BY 1, 2),
+hits AS (SELECT conv_id, turn, complaint_id, row_number() OVER (PARTITION BY conv_id, turn
+    ORDER BY round(coalesce(score, 0.0), 5) DESC, complaint_id) AS rank
+  FROM incoming CROSS JOIN cases LEFT JOIN dots ON q = 'q' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)
+    AND c = 'c' || CAST(complaint_id AS VARCHAR) QUALIFY rank <= 3)
+SELECT conv_id, turn, string_agg(CAST(complaint_id AS VARCHAR) || ':' || cases.issue, ',' ORDER BY rank) AS similar
+FROM hits JOIN cases USING (complaint_id) GROUP BY conv_id, turn""")
+def stream_similar_cases(spark, folder):
+    """Incoming messages routed with the three most similar documents, read back from the action log."""
+    cases = complaints(spark, folder)
+    index = stage(embedding.hashed_embedding(cases, "complaint_id", "narrative").join(
+        cases.select("complaint_id", "issue"), "complaint_id").select(
+        F.col("complaint_id").alias("id"), "embedding", "issue", F.lit(None).cast("string").alias("company_response")), "index")
+    messages = streams.table_stream(spark, folder, "conversations").filter("role = 'user'")
+    path = scratch_path(spark, "similar")
+    step = streams.route_with_cases(index, with_rule_category, ["conv_id", "turn"], F.col("conv_id"))
+    streams.run_available(streams.per_batch(messages, path, step))
+    kind = messages.schema["conv_id"].dataType.simpleString(), messages.schema["turn"].dataType.simpleString()
+    log = streams.batches(spark, path, f"conv_id {kind[0]}, turn {kind[1]}, action string, details string")
+    found = actions.flatten_details(log.drop("action", streams.BATCH), {
+        "similar_past_complaints": "array<struct<id:bigint,issue:string>>"}, prefix="")
+    said = F.transform("similar_past_complaints", lambda c: F.concat_ws(":", c["id"].cast("string"), c["issue"]))
+    return found.select("conv_id", "turn", F.array_join(said, ",").alias("similar"))
+
+
 @query("stream_event_state", f"""WITH {EVENTS}, ch AS (
   SELECT id, "at" AS changed_at, 0 AS seq, 'pending' AS outcome, 0.05::DECIMAL(10, 5) AS usd FROM ev
   UNION ALL SELECT id, "at" + INTERVAL 5 SECOND, 1, outcome, CASE WHEN outcome = 'failed' THEN 0 ELSE usd END FROM ev

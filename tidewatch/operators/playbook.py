@@ -32,7 +32,8 @@ def playbook_actions(playbook: DataFrame, key: str) -> DataFrame:
 
 
 def digest(playbook: DataFrame, key: str, charges: str, top: int = 5) -> DataFrame:
-    """One row: customers per tier, revenue at risk (high and medium), the riskiest high-tier customers."""
+    """One row: customers per tier, revenue at risk (high and medium), the riskiest high-tier customers with what
+    drives their risk (an array ``drivers`` of texts, if there is one) and the offer."""
     tier = F.col("tier")
     at_risk = tier.isin("high", "medium")
     counts = playbook.agg(
@@ -41,8 +42,10 @@ def digest(playbook: DataFrame, key: str, charges: str, top: int = 5) -> DataFra
         F.coalesce(F.sum(F.when(at_risk, F.col(charges))), F.lit(0.0)).alias("revenue_at_risk"))
     # a top-k report: k rows at most reach the list
     best = playbook.filter(tier == "high").orderBy(F.col("churn_probability").desc(), F.col(key)).limit(top)
+    why = F.array_join("drivers", ", ") if "drivers" in playbook.columns else F.lit(None)
+    what = F.concat_ws(" -> ", why, F.col("offer"))
     rank = F.struct((-F.col("churn_probability")).alias("neg"), F.col(key).alias("id"), F.format_string(
-        "%s - %.0f%% - %s", F.col(key).cast("string"), F.col("churn_probability") * 100, F.col("offer")).alias("line"))
+        "%s - %.0f%% - %s", F.col(key).cast("string"), F.col("churn_probability") * 100, what).alias("line"))
     lines = best.agg(F.transform(F.array_sort(F.collect_list(rank)), lambda r: r["line"]).alias("l")).scalar()
     return counts.withColumn("top_customers", lines)
 

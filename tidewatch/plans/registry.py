@@ -9,6 +9,7 @@ from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.operators.actions import action_rows
 from tidewatch.plans.models import Bundle, Spec, train
 
 FORMAT = 1                       # bundle layout; other layouts are not loaded
@@ -81,6 +82,13 @@ def retrain(base: DataFrame, spec: Spec, folder: str, recent: DataFrame | None =
         "new_labeled_rows bigint")
 
 
+def retrain_actions(decisions: DataFrame) -> DataFrame:
+    """Action rows of retraining decisions, to be appended to the action log."""
+    details = F.struct("version", "previous_cv_roc_auc", "candidate_cv_roc_auc", "new_labeled_rows")
+    return action_rows(decisions, F.when(F.col("promoted"), "model_promoted").otherwise("model_rejected"), details,
+                       F.lit(None).cast("string"))
+
+
 def log_run(spark: SparkSession, path: str, run: str, values: dict) -> None:
     """Append parameters and metrics of one run as (run, key, value, ts) rows."""
     now = datetime.now(timezone.utc)

@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 
 from tidewatch.functions.rules import TEAMS
-from tidewatch.operators import drift, quota, routing
+from tidewatch.operators import drift, embedding, quota, retrieval, routing
 from tidewatch.operators.actions import ACTION
 from tidewatch.operators.usage import HOUR, counted, month_of
+from tidewatch.session import stage
 
 BATCH = "batch"
 FILES_PER_BATCH = 64        # of a backfill; a running stream sees few new files at a time
@@ -214,6 +215,27 @@ def route_complaints(messages: DataFrame, classify: Callable[[DataFrame], DataFr
     return routing.routed_actions(routed, F.col("customer_id") if customer is None else customer)
 
 
+def route_with_cases(index: DataFrame, classify: Callable[[DataFrame], DataFrame], key: list[str], customer: Column,
+                     k: int = 3, text: str = "text") -> Callable[[DataFrame, int], DataFrame]:
+    """Per-batch step: each arriving complaint is classified and routed, its ``k`` most similar cases are looked up
+    in a stored ``index`` (id, embedding, issue, company_response) of hashed embeddings, and the action row lists them."""
+
+    def step(rows: DataFrame, number: int) -> DataFrame:
+        asked = stage(rows.withColumn("_ask", F.monotonically_increasing_id()), "asked")
+        vectors = stage(embedding.hashed_embedding(asked, "_ask", text), "asked-vectors")
+        hits = retrieval.knn(vectors.withColumnRenamed("_ask", "id"), index.select("id", "embedding"), k, digits=5)
+        cases = hits.join(index.select("id", "issue", "company_response"), "id").groupBy(
+            F.col("query_id").alias("_ask")).agg(F.array_sort(F.collect_list(F.struct(       # k at most
+                "rank", "id", "issue", "company_response", F.round("score", 4).alias("similarity")))).alias("_found"))
+        listed = F.transform("_found", lambda c: F.struct(
+            c["id"].alias("id"), c["issue"].alias("issue"), c["company_response"].alias("company_response"),
+            c["similarity"].alias("similarity")))
+        routed = routing.route(classify(asked).join(cases.select("_ask", listed.alias("similar")), "_ask", "left"))
+        return routing.routed_actions(routed, customer, similar="similar", keep=key)
+
+    return step
+
+
 def tail_actions(actions: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Log rows, each once: repeats inside the watermark are dropped, rows later than it as well."""
     keyed = actions.withWatermark("logged_at", lateness)
