@@ -244,3 +244,19 @@ def test_labels_must_be_complete(spark):
     assert records.pair_labels(rows, labels, "id").count() == 2
     with pytest.raises(ValueError, match="one label per row"):
         records.pair_labels(rows, labels.limit(1), "id")
+
+
+def test_refresh_keeps_begun_readers(spark):
+    from tidewatch.session import scratch_path
+
+    path = scratch_path(spark, "refreshed")
+    name = "refreshed_" + path.rsplit("-", 1)[-1]
+    first = records.refresh_table(spark.range(5), name, path=path)
+    begun = spark.table(name)
+    assert begun.count() == 5
+    second = records.refresh_table(spark.range(10, 13), name, path=path)
+    assert first != second
+    assert sorted(r.id for r in begun.collect()) == [0, 1, 2, 3, 4]
+    assert sorted(r.id for r in spark.table(name).collect()) == [10, 11, 12]
+    with pytest.raises(ValueError, match="other columns"):
+        records.refresh_table(spark.range(2).withColumn("more", F.lit(1)), name, path=path)

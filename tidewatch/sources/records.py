@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.session import stage
+
 # fixed values: the CRM record
 CATEGORICAL = [
     "gender", "Partner", "Dependents", "PhoneService", "MultipleLines", "InternetService",
@@ -28,6 +32,7 @@ def crm_schema(total_as_text: bool = False) -> T.StructType:
 
 
 TRAINING_SCHEMA = T.StructType([*crm_schema(True).fields, T.StructField("Churn", T.StringType())])
+# fixed values: the complaint and event records
 COMPLAINT_DDL = (
     "complaint_id bigint, date_received date, product string, sub_product string, issue string, "
     "sub_issue string, company string, company_response string, timely_response boolean, state string, "
@@ -108,11 +113,12 @@ def key_checks(df: DataFrame, key: list[str], required: list[str]) -> DataFrame:
 
 def pair_labels(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """Rows with their labels by key; an error when a row lacks a label or the counts differ."""
-    joined = rows.join(labels.withColumn("_there", F.lit(1)), key, "left")
-    n, found = joined.agg(F.count(F.lit(1)), F.count("_there")).first()
-    if not n == found == labels.count():
-        raise ValueError(f"need one label per row: {n} rows, {found} of them labelled")
-    return joined.drop("_there")
+    joined = stage(rows.withColumn("_row", F.lit(1)).join(labels.withColumn("_there", F.lit(1)), key, "full"), "paired")
+    n, found, both = joined.agg(F.count("_row"), F.count("_there"), F.count_if(
+        F.col("_row").isNotNull() & F.col("_there").isNotNull())).first()
+    if not n == found == both:
+        raise ValueError(f"need one label per row: {n} rows, {both} of them labelled, {found} labels")
+    return joined.drop("_row", "_there")
 
 
 # ------------------------------------------------------------------ loads and copies
@@ -123,12 +129,32 @@ def refresh(df: DataFrame, path: str, partition_by: list[str] | None = None) ->
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def refresh_table(df: DataFrame, name: str, partition_by: list[str] | None = None, path: str | None = None) -> None:
-    """Full refresh of a catalog table (at ``path`` if given), with statistics for the optimizer."""
-    writer = df.write.mode("overwrite").format("parquet")
-    writer = writer.option("path", path) if path else writer
-    (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(name)
-    df.sparkSession.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS")
+def refresh_table(df: DataFrame, name: str, partition_by: list[str] | None = None, path: str | None = None) -> str:
+    """Full refresh of a catalog table below ``path`` (the warehouse's folder of that name if none is given), with
+    statistics for the optimizer; the folder of the new version.
+
+    The rows are written to a new folder first and the catalog is then pointed at it in one step, so a reader sees the
+    old rows or the new ones.  Folders of earlier versions stay for readers that have begun, and go by the
+    storage's own retention rules.  Partitions have locations of their own in the catalog, so a partitioned table is
+    replaced as a whole.  The columns of a table cannot change in a refresh.
+    """
+    spark = df.sparkSession
+    path = path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}"
+    at = f"{path.rstrip('/')}/version-{uuid.uuid4().hex}"
+    writer = df.write.mode("error").format("parquet")
+    if partition_by:
+        writer.option("path", at).partitionBy(*partition_by).mode("overwrite").saveAsTable(name)
+    elif not spark.catalog.tableExists(name):
+        writer.option("path", at).saveAsTable(name)
+    else:
+        there = [(f.name, f.dataType) for f in spark.table(name).schema]
+        if there != [(f.name, f.dataType) for f in df.schema]:
+            raise ValueError(f"{name} has other columns")
+        writer.save(at)
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{at}'")
+        spark.catalog.refreshTable(name)
+    spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS")
+    return at
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
