@@ -90,6 +90,23 @@ def stream_routing(spark, folder):
     return log.groupBy("team", "priority").agg(F.count(F.lit(1)).alias("complaints"))
 
 
+@query("stream_latency_quantile", f"""WITH {EVENTS} SELECT CAST(date_trunc('minute', "at") AS TIMESTAMP) AS window_start,
+event_type, count(*) AS requests, TRUE AS within FROM ev GROUP BY 1, 2""")
+def stream_latency_quantile(spark, folder):
+    """The 95th percentile of latency per minute and route from sketches, and whether its rank among the values of
+    the batch table is within the sketch's error."""
+    out = _updated(spark, streams.route_quantiles(_events(spark, folder), "at", "event_type", "value",
+                                                  lateness=_backfill(spark, folder)), "quantile", ["window_start", "event_type"])
+    exact = table(spark, folder, "events", "ts", "event_type", "value").select(
+        F.date_trunc("MINUTE", "ts").cast("timestamp_ntz").alias("window_start"), "event_type", "value")
+    share = out.join(exact, ["window_start", "event_type"]).groupBy("window_start", "event_type").agg(
+        F.max("requests").alias("requests"), F.avg((F.col("value") <= F.col("latency")).cast("double")).alias("upto"),
+        F.avg((F.col("value") < F.col("latency")).cast("double")).alias("below"))
+    low, high = streams.QUANTILE - streams.RANK_ERROR, streams.QUANTILE + streams.RANK_ERROR
+    return share.select("window_start", "event_type", "requests",
+                        ((F.col("upto") >= low) & (F.col("below") <= high)).alias("within"))
+
+
 _BOTH = f"""{INCOMING}, {COMPLAINTS}, texts AS (SELECT 'c' || CAST(complaint_id AS VARCHAR) AS k, narrative AS t FROM cases
   UNION ALL SELECT 'q' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR), text FROM incoming),
 {SLOTS.replace("complaint_id", "k").replace("narrative", "t").replace("FROM cases", "FROM texts")}"""
