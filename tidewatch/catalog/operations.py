@@ -425,6 +425,15 @@ ORDER BY ts DESC, event_id DESC LIMIT 20""")
 def action_recent(spark, folder):
     """Newest 20 rows of one action among the newest thousand."""
     rows = actions.recent_actions(_log(spark, folder), 20, "purchase",
+                                  [F.col("logged_at").desc(), F.col("event_id").desc()], actions.SCAN_ROWS)
+    return rows.select("event_id", "logged_at", "action")
+
+
+@query("action_recent_all", """SELECT event_id, ts AS logged_at, event_type AS action FROM events
+WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 20""")
+def action_recent_all(spark, folder):
+    """Newest 20 rows of one action, however far back they are."""
+    rows = actions.recent_actions(_log(spark, folder), 20, "error",
                                   [F.col("logged_at").desc(), F.col("event_id").desc()])
     return rows.select("event_id", "logged_at", "action")
 
@@ -557,7 +566,7 @@ def csv_round_trip(spark, folder):
     """Write an enriched table as CSV with a header and read it back with its schema."""
     path = scratch_path(spark, "csv")
     records.write_csv(table(spark, folder, "documents", "doc_id", "text", "source"), path)
-    back = records.read_csv(spark, path, "doc_id bigint, text string, source string")
+    back = records.read_csv(spark, path, "doc_id bigint, text string, source string", multi_line=True)
     return back.select("doc_id", F.length("text").alias("chars"), "source")
 
 

@@ -42,10 +42,11 @@ EVENT_DDL = "id bigint, at timestamp, visitor string, outcome string, usd decima
 EVENT_REQUIRED = ["id", "at", "visitor", "outcome", "usd"]
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """CSV with a header row, columns found by name; the schema is explicit, nothing is inferred."""
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = False) -> DataFrame:
+    """CSV with a header row, columns found by name; the schema is explicit, nothing is inferred.  Values with line
+    breaks need ``multi_line``, under which a file cannot be split."""
     wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-    text = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option(
+    text = spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line).option(
         "escape", '"').csv(path)
     return text.select(*[
         (F.trim(F.col(f"`{f.name}`")).try_cast(f.dataType) if not isinstance(f.dataType, T.StringType)
