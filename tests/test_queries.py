@@ -15,7 +15,7 @@ drop_last_sentence playbook_join retention_digest complaint_routing usage_counte
 visitor_trailing_hour quota_remaining quota_replay_daily call_cost event_latest_state action_flatten route_latency
 counter_increase validate_records copy_reconcile paired_labels knn_exact knn_same_product_excluding_self
 chance_precision hashed_embedding tfidf_topk citation_filter stream_daily_usage stream_routing
-cost_per_question isotonic_rule_score risk_drivers_fixed knn_hashed_recall table_refresh""".split()
+cost_per_question isotonic_rule_score risk_drivers_fixed knn_hashed_recall table_refresh stream_daily_usage_late""".split()
 
 
 @pytest.fixture(scope="module")

@@ -9,7 +9,7 @@ from tidewatch.catalog.features import _IMPORTANCE, shifted
 from tidewatch.catalog.operations import LIMITS, _changes
 from tidewatch.catalog.search import SLOTS
 from tidewatch.catalog.views import (COMPLAINTS, CRM_CATEGORICAL, CRM_NUMERIC, EVENTS, INCOMING, RISK, complaints, crm, risk,
-                                     with_rule_category)
+                                     usage_events, with_rule_category)
 from tidewatch.functions import rules, text
 from tidewatch.operators import actions, drift, embedding, playbook, usage
 from tidewatch.session import scratch_path, stage
@@ -46,6 +46,28 @@ def stream_daily_usage(spark, folder):
     return out.withColumn("usd", F.col("usd").cast("double"))
 
 
+@query("stream_daily_usage_late", f"""WITH {EVENTS} SELECT CAST(date_trunc('day', "at") AS TIMESTAMP) AS window_start, visitor,
+count(*) AS questions, CAST(sum(usd) AS DOUBLE) AS usd FROM ev WHERE outcome <> 'failed' GROUP BY 1, 2""")
+def stream_daily_usage_late(spark, folder):
+    """The same with a lateness of two days, so that state is let go, over files that are not in the order of time:
+    what the stream dropped comes from the table of late rows."""
+    source = scratch_path(spark, "unordered-events")
+    events = usage_events(spark, folder).select("id", "at", "visitor", "outcome", "usd").filter(usage.counted())
+    events.repartition(4, "id").write.parquet(source)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
+    arriving = streams.folder_stream(spark, source, events.schema)
+    kept, side = scratch_path(spark, "daily-kept"), scratch_path(spark, "daily-late")
+    live = streams.daily_usage(arriving, "2 days")
+    streams.run_available(streams.per_batch(live, kept, mode="update"), late="count")
+    streams.run_available(streams.per_batch(arriving, side, streams.late_rows(side, schema, "at", "1 day", "2 days")))
+    late = streams.late_table(spark, side, schema)
+    aside = late.groupBy(F.date_trunc("DAY", "at").cast("timestamp_ntz").alias("window_start"), "visitor").agg(
+        F.count(F.lit(1)).alias("questions"), F.sum("usd").alias("usd"))
+    both = streams.newest(spark, kept, live.schema, ["window_start", "visitor"]).select(*aside.columns).unionByName(aside)
+    return both.groupBy("window_start", "visitor").agg(
+        F.sum("questions").alias("questions"), F.sum("usd").cast("double").alias("usd"))
+
+
 @query("stream_monthly_usage", f"""WITH {EVENTS} SELECT CAST(date_trunc('month', "at") AS TIMESTAMP) AS month,
 count(*) AS questions, CAST(sum(usd) AS DOUBLE) AS usd FROM ev WHERE outcome <> 'failed' GROUP BY 1""")
 def stream_monthly_usage(spark, folder):

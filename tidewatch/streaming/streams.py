@@ -68,7 +68,8 @@ def per_batch(stream: DataFrame, path: str, step: Callable[[DataFrame, int], Dat
 
 
 def run_available(writer: DataStreamWriter, late: str = "raise") -> int:
-    """Process everything there is, then stop; the number of rows that were too late to count.
+    """Process everything there is, then stop; the number of rows (of an aggregation: of groups of a task's rows) that
+    were too late to count.
 
     Such rows are missing from the result, so they are an error unless ``late`` is "count".
     """
@@ -96,6 +97,33 @@ def newest(spark: SparkSession, path: str, schema, keys: list[str]) -> DataFrame
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), BATCH).alias("_r")).select(*keys, "_r.*")
 
 
+def late_rows(path: str, schema: str, ts: str, every: str, lateness: str) -> Callable[[DataFrame, int], DataFrame]:
+    """Per-batch step that keeps what a windowed aggregation over the same micro-batches drops as too late.
+
+    An aggregation drops a row whose window ended before the newest time of the batches up to the last but one,
+    less the lateness.  Each batch therefore notes the newest time it has seen, in a row of its own, next to its late
+    rows; ``late_table`` reads the latter back.
+    """
+    def step(rows: DataFrame, number: int) -> DataFrame:
+        seen = rows.agg(F.max(_instant(ts)).alias("_seen"))
+        marks = rows.limit(0).unionByName(seen, allowMissingColumns=True)
+        if number < 2:
+            return marks
+        before = batches(rows.sparkSession, path, f"{schema}, _seen timestamp", before=number - 1).agg(F.max("_seen")).first()[0]
+        if before is None:
+            return marks
+        border = F.lit(before) - F.expr(f"INTERVAL {lateness}")
+        late = rows.filter(F.window(_instant(ts), every)["end"] <= border)
+        return late.unionByName(marks, allowMissingColumns=True)
+
+    return step
+
+
+def late_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    rows = batches(spark, path, f"{schema}, _seen timestamp")
+    return rows.filter("_seen IS NULL").drop("_seen", BATCH)
+
+
 def _instant(c: str) -> Column:
     return F.col(c).cast("timestamp")
 
