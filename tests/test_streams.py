@@ -81,6 +81,15 @@ def test_lifecycle_over_batches_and_restarts(spark):
     assert _live(spark, out, live) == {1: ("answered", 0.02), 2: ("pending", 0.05), 3: ("answered", 0.01), 4: ("failed", 0.0)}
 
 
+def test_state_without_timers_calls_no_python_per_key(spark):
+    path, out = scratch_path(spark, "changes-in"), scratch_path(spark, "lifecycle-many")
+    _file(spark, path, [(i, at, at, outcome, "0.05") for i in range(300) for at, outcome in ((0, "pending"), (5, "answered"))])
+    live = streams.lifecycle(streams.folder_stream(spark, path, CHANGES))
+    assert "Pandas" not in live._jdf.queryExecution().logical().toString()
+    streams.run_available(streams.per_batch(live, out, mode="update"))
+    assert _live(spark, out, live) == {i: ("answered", 0.05) for i in range(300)}
+
+
 def test_pending_events_expire(spark):
     path, out = scratch_path(spark, "changes-in"), scratch_path(spark, "expiry-test")
     for rows in ([(1, 0, 0, "pending", "0.05"), (2, 0, 0, "pending", "0.05")], [(1, 5, 1, "answered", "0.02")],

@@ -187,12 +187,11 @@ KEYED_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 class Lifecycle(StatefulProcessor):
     """State of one event: reserved (pending), then settled or released by a later change.
 
-    Changes may come in any order; the newest one counts.  With a ``patience`` (seconds), an event that is still
-    pending that long after its reservation expires and costs nothing; a change that settles it afterwards still
-    counts, being newer.
+    Changes may come in any order; the newest one counts.  An event that is still pending ``patience`` seconds after
+    its reservation expires and costs nothing; a change that settles it afterwards still counts, being newer.
     """
 
-    def __init__(self, patience: int | None = None):
+    def __init__(self, patience: int):
         self.patience = patience
 
     def init(self, handle) -> None:
@@ -209,11 +208,10 @@ class Lifecycle(StatefulProcessor):
         if newest == before:
             return
         self.state.update(newest)
-        if self.patience is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            if newest[2] == "pending":
-                self.handle.registerTimer(int(newest[0].timestamp() * 1000) + self.patience * 1000)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if newest[2] == "pending":
+            self.handle.registerTimer(int(newest[0].timestamp() * 1000) + self.patience * 1000)
         yield self._row(key, newest)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -237,15 +235,19 @@ class Lifecycle(StatefulProcessor):
 def lifecycle(changes: DataFrame, patience: int | None = None, lateness: str = "1 day") -> DataFrame:
     """Every new state of every event (id, changed_at, seq, outcome, usd), kept per key in the stream's own state.
 
-    Without a ``patience`` nothing expires, no watermark is needed and a change may come at any time.
+    Without a ``patience`` nothing expires, no watermark is needed and a change may come at any time.  The state is then
+    the largest change of the key, kept by an aggregation, and no key costs a call of Python; an event whose changes in a
+    batch are older than its state shows that state again.  Of changes of one time and ``seq`` the largest outcome, then
+    the largest cost counts.
     """
     rows = changes.select(F.col("id").cast("bigint").alias("id"), _instant("changed_at").alias("changed_at"),
                           F.col("seq").cast("int").alias("seq"), "outcome", F.col("usd").cast("decimal(10,5)").alias("usd"))
-    if patience is not None:
-        rows = rows.withWatermark("changed_at", lateness)
     changes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", KEYED_STATE)
-    return rows.groupBy("id").transformWithStateInPandas(
-        Lifecycle(patience), LIVE, "Update", "None" if patience is None else "EventTime")
+    if patience is None:
+        newest_change = F.max(F.struct("changed_at", "seq", "outcome", "usd")).alias("_r")
+        return rows.groupBy("id").agg(newest_change).select("id", "_r.*")
+    return rows.withWatermark("changed_at", lateness).groupBy("id").transformWithStateInPandas(
+        Lifecycle(patience), LIVE, "Update", "EventTime")
 
 
 # ------------------------------------------------------------------ workflows
