@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import drift
 from tidewatch.operators.snapshots import FEATURES
-from tidewatch.plans import attribution, backtest, models, nested, nested_drift, registry
-from tidewatch.session import scratch_path
+from tidewatch.plans import attribution, backtest, models, nested, nested_drift, registry, text_classifier
+from tidewatch.session import scratch_path, stage
 
 SPEC = models.Spec("id", "y", ["contract"], ["tenure", "charges"], rounds=3)
 
@@ -160,6 +160,26 @@ def test_replay_rules(spark):
     assert backtest.pivot_auc(out).count() == 3
 
 
+def test_replay_scores_only_what_a_policy_reads(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    ddl = "cutoff timestamp_ntz, customer bigint, " + ", ".join(f"{f} double" for f in FEATURES) + ", churned int"
+    rows = [(dt.datetime(2010 + m // 12, 1 + m % 12, 1), c, *(float(v) for v in rng.normal(size=len(FEATURES))), c % 2)
+            for m in range(16) for c in range(60)]
+    asked = []
+
+    def scores(snaps, made, since, key, label, pairs):
+        asked.append(pairs)
+        return nested.nested_scores(snaps, made, since, key, label, pairs)
+
+    monkeypatch.setattr(backtest, "nested_scores", scores)
+    spec = models.Spec("customer", "churned", [], FEATURES, learner="logistic")
+    out = backtest.run_backtest(spark.createDataFrame(rows, ddl), None, spec, ["static", "monthly"])
+    months = out.select("month").distinct().count()
+    # the first model in all months and those it is monitored on, each other model in its own month
+    assert out.count() == 2 * months and out.filter("true_roc_auc IS NULL").isEmpty()
+    assert len(set().union(*asked)) <= 3 * months
+
+
 def test_nested_fits_equal_single_ones(spark):
     rng = np.random.default_rng(4)
     rows = [(dt.datetime(2010, 1 + m, 1), i, float(a), float(b * 1000), 7.0, int(rng.random() < 1 / (1 + np.exp(1 - a - b * m))))
