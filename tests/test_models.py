@@ -229,3 +229,12 @@ def test_nested_psi_equals_profiles_of_each_model(spark):
             for r in drift.feature_psi(profile, month, [], names).collect():
                 assert got.pop((model, at, r["feature"]), 0.0) == pytest.approx(r["psi"], abs=1e-12)
     assert not got
+
+
+def test_classifier_writes_term_counts_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(text_classifier, "stage", lambda df, name: written.append(name) or stage(df, name))
+    rows = [(i, "red apple pie" if i % 2 else "blue steel car", "food" if i % 2 else "cars") for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, narrative string, product string")
+    model = text_classifier.fit_classifier(df, "narrative", "product")
+    assert text_classifier.classify(model, df, "narrative").filter("category <> product").isEmpty() and written == ["terms"]

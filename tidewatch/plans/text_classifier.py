@@ -11,19 +11,23 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.text import normalize
 from tidewatch.plans.models import with_balanced_weight
+from tidewatch.session import stage
 
 
 def fit_classifier(df: DataFrame, text: str, label: str, terms: int = 1 << 16, max_iter: int = 20) -> PipelineModel:
-    """Labels are indexed alphabetically; classes weigh the same."""
-    rows = with_balanced_weight(df.select(label, normalize(text).alias("_text")), label)
-    return Pipeline(stages=[
+    """Labels are indexed alphabetically; classes weigh the same.  Texts are cut into words once, and both fits read the
+    written term counts."""
+    words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"\s+")
+    hashing = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=terms)
+    counted = PipelineModel([words, hashing]).transform(df.select(label, normalize(text).alias("_text")))
+    rows = with_balanced_weight(stage(counted.select(label, "_tf"), "terms"), label)
+    fitted = Pipeline(stages=[
         StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc"),
-        RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"\s+"),
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=terms),
         IDF(inputCol="_tf", outputCol="features", minDocFreq=2),
         LogisticRegression(labelCol="_label", weightCol="_weight", maxIter=max_iter, regParam=1e-3,
                            family="multinomial"),
     ]).fit(rows)
+    return PipelineModel([fitted.stages[0], words, hashing, *fitted.stages[1:]])
 
 
 def classify(model: PipelineModel, df: DataFrame, text: str) -> DataFrame:
