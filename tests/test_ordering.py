@@ -86,3 +86,15 @@ def test_top_precision_takes_exactly_a_tenth(skewed):
     sure = [r for r in best if r[2] > best[-1][2]]
     low = sum(r[3] for r in sure) / 150
     assert low <= got["top_precision"] <= low + (150 - len(sure)) / 150
+
+
+def test_shuffles_start_with_as_many_partitions_as_the_tables_ask_for(spark, tmp_path, monkeypatch):
+    from tidewatch import session
+
+    (tmp_path / "table.parquet").write_bytes(b"x" * 10_000)
+    monkeypatch.setattr(session, "INPUT_BYTES", 100)
+    try:
+        session.prepare(spark, str(tmp_path))
+        assert spark.conf.get(session.INITIAL) == "100"
+    finally:
+        spark.conf.unset(session.INITIAL)

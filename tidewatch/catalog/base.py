@@ -17,7 +17,7 @@ SQL: dict[str, str] = {}
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return fn(prepare(spark), folder)
+            return fn(prepare(spark, folder), folder)
 
         run.__name__, run.__doc__ = name, fn.__doc__
         QUERIES[name] = run
