@@ -1,6 +1,8 @@
 """Invariants of the fitted parts: additivity of contributions, calibration, gate, replay rules."""
 
 import datetime as dt
+import threading
+import time
 
 import numpy as np
 import pytest
@@ -93,6 +95,39 @@ def test_boosting_runs_all_rounds_on_all_rows(spark):
     assert all(t._call_java("rootNode").impurityStats().rawCount() == 300 for t in learner.trees)
 
 
+def test_boosted_fits_have_a_partition_per_core_until_it_is_large(spark, book, monkeypatch):
+    assert [models.partitions(n, 12) for n in (0, 60_000, 3_200_000, 32_000_000)] == [1, 3, 12, 84]
+    monkeypatch.setattr(models, "PARTITION_ROWS", 4)
+    dealt = []
+    monkeypatch.setattr(models, "partitions", lambda n, cores, known=models.partitions: dealt.append(known(n, cores)) or dealt[-1])
+    spec = models.Spec("id", "y", ["contract"], ["tenure", "charges"], rounds=3)
+    made = models.fit(book, spec)
+    assert dealt == [spark.sparkContext.defaultParallelism]        # 400 rows would have been 100 partitions
+    one = models.build_pipeline(spec).fit(models.with_positive_weight(book, "y").coalesce(1))
+    for model in (made, one):
+        assert model.stages[-1].getNumTrees == 3 and len(model.stages) == len(one.stages)
+    raw = [{r["id"]: r["raw"] for r in models.raw_score(m, book).collect()} for m in (made, one)]
+    assert raw[0] == pytest.approx(raw[1])
+
+
+def test_fits_side_by_side_hold_a_bounded_number_of_rows(spark, book, monkeypatch):
+    running, most, lock = [0], [0], threading.Lock()
+
+    def slow(df, spec):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        time.sleep(0.3)
+        with lock:
+            running[0] -= 1
+
+    monkeypatch.setattr(models, "fit", slow)
+    for rows, at_once in ((12_000_000, 4), (800, 2), (10, 1)):
+        monkeypatch.setattr(models, "PARALLEL_ROWS", rows)
+        most[0] = 0
+        assert list(models.fit_all(dict.fromkeys("abcd", book), None)) == [*"abcd"] and most[0] == at_once
+
+
 def test_importances_are_shares(bundle):
     got = {r["feature"]: r["importance"] for r in bundle.importances.collect()}
     assert set(got) == {"contract", "tenure", "charges"} and sum(got.values()) == pytest.approx(1, abs=1e-5)
