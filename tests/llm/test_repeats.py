@@ -60,3 +60,20 @@ def test_rows_without_id(spark):
                                  "doc_id long, text string")
     got = {r.n_bytes: r.n_removed for r in remove_repeats(docs, 12, ("n_bytes", "n_removed")).collect()}
     assert got == {30: 20, 20: 20, 1: 0}
+
+
+def test_suffixes_known_to_be_shared_leave_a_batch_at_a_time():
+    import pyarrow as pa
+
+    from tidewatch.llm.repeats import _by_known
+
+    def batches():
+        for known in ((0, False), (0, False), (0, True)), ((0, True), (1, False)), ((1, False), (1, True)), ((2, False),):
+            seen.append(known)
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in known], pa.int32()), pa.array([k for _, k in known])],
+                                             names=["bucket", "known"])
+
+    seen: list = []
+    got = [(known, rows["bucket"].to_pylist(), len(seen)) for known, rows in _by_known(batches())]
+    # the known rows of bucket 0 lie in two batches and are not gathered; a bucket's other rows are
+    assert got == [(False, [0, 0], 1), (True, [0], 1), (True, [0], 2), (False, [1, 1], 3), (True, [1], 3), (False, [2], 4)]
