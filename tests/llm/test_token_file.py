@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewatch.llm.range_coder import decode_block, encode_block
-from tidewatch.llm.token_file import Units, read_token_file, write_token_file
+from tidewatch.llm.range_coder import LANES, LEAST_STEPS, decode_block, encode_block
+from tidewatch.llm.token_file import Units, read_token_file, unit_starts, write_token_file
 from tidewatch.session import scratch_path
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,6 +40,29 @@ def test_units_equal_the_library():
     assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_units_are_cut_where_kinds_of_characters_meet():
+    text = " one, two.\nThree  4x can't ü,  “q” \n\nend "
+    edges = np.append(np.flatnonzero(unit_starts(np.frombuffer(text.encode(), np.uint8))), len(text.encode()))
+    assert [text.encode()[a:b].decode() for a, b in zip(edges, edges[1:])] == [
+        " one", ",", " two", ".", "\n", "Three ", " 4", "x", " can", "'t", " ü, ", " “q” \n\nend "]
+    units = Units(PATH)
+    units.encode(["word, word. word! word\n word; word\n" * 50])
+    assert sum(b"word" in u for u in units.table) == 2          # with a blank and, at the start, without
+
+
+def test_units_of_one_kind_after_another():
+    draw, bits = random.Random(5), [*" ,.'xZé9\n\r\x0b(²\u0301\u2003\u2028\xa0\x85\x1c\x00あ“"] + ["'s", "'ll", " ", "  ", "<|endoftext|>"]
+    texts = ["".join(draw.choices(bits, k=draw.randint(0, 9))) for _ in range(20000)]
+    units, whole = Units(PATH), Tokenizer.from_file(PATH)
+    got = [np.frombuffer(x, "<u4").tolist() for at in range(0, len(texts), 7) for x in units.encode(texts[at:at + 7])]
+    assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_wide_block_round_trip():
+    ids = np.minimum(np.random.default_rng(2).zipf(1.2, LANES * LEAST_STEPS + 5), 50256)
+    assert LANES == 8192 and (decode_block(encode_block(ids, 50257), len(ids), 50257) == ids).all()
+
+
 def test_file_round_trip(spark, folder):
     whole = Tokenizer.from_file(PATH)
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").unionByName(

@@ -15,7 +15,7 @@ import zlib
 
 import numpy as np
 
-LANES = 2048                # at most
+LANES = 8192                # at most
 LEAST_STEPS = 256
 ODDS_BITS, COUNT_BITS = 12, 21
 CONTEXT_BITS = 18
@@ -28,15 +28,14 @@ _SMALL, _W, _S30, _S62 = _U(1 << 30), _U(32), _U(30), _U(62)
 
 class _Model:
     def __init__(self, vocabulary: int, lanes: int):
+        # an id and, in the two bits below it, how often in a row it was right
         self.next1 = np.zeros(vocabulary, np.int32)
-        self.sure1 = np.zeros(vocabulary, np.uint8)
         self.next2 = np.zeros(1 << CONTEXT_BITS, np.int32)
-        self.sure2 = np.zeros(1 << CONTEXT_BITS, np.uint8)
         self.odds = np.ones((32, 3), np.int64) * np.array([2, 2, 4])
         self.counts = np.ones(vocabulary, np.int64)
         self.seen: list[np.ndarray] = []
-        self.last = np.zeros(lanes, np.int32)
-        self.before = np.zeros(lanes, np.int32)
+        self.last = np.zeros(lanes, np.int64)
+        self.before = np.zeros(lanes, np.uint32)
         self.step = 0
         self._set_odds()
         self._set_counts()
@@ -60,24 +59,27 @@ class _Model:
         self.count_share, self.count_below = share.astype(np.uint64), edges
 
     def predict(self):
-        self.at2 = ((self.before.astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (
-            self.last.astype(np.uint32) * np.uint32(0x85EBCA77))) >> np.uint32(32 - CONTEXT_BITS)
-        self.guess2, self.guess1 = self.next2[self.at2], self.next1[self.last]
-        self.trust2, self.trust1 = self.sure2[self.at2], self.sure1[self.last]
-        self.context = (self.trust2 * np.uint8(4) + self.trust1).astype(np.int64)
-        self.context += (self.guess1 == self.guess2) * 16
+        last = self.last.astype(np.uint32)
+        self.at2 = ((self.before * np.uint32(0x9E3779B1) ^ last * np.uint32(0x85EBCA77)) >> np.uint32(
+            32 - CONTEXT_BITS)).astype(np.int64)
+        self.before = last
+        self.held2, self.held1 = self.next2.take(self.at2), self.next1.take(self.last)
+        self.guess2, self.guess1 = self.held2 >> 2, self.held1 >> 2
+        self.context = ((self.held2 & 3) << 2 | (self.held1 & 3) | (self.guess1 == self.guess2).astype(np.int32) << 4
+                        ).astype(np.int64)
         return self.context
 
-    def update(self, ids: np.ndarray, kind: np.ndarray, missed: np.ndarray) -> None:
-        self.odds += np.bincount(self.context * 3 + kind, minlength=96).reshape(32, 3) * 16
-        for guess, trust, place, following, sure in (
-                (self.guess1, self.trust1, self.last, self.next1, self.sure1),
-                (self.guess2, self.trust2, self.at2, self.next2, self.sure2)):
-            right = guess == ids
-            following[place] = np.where(right | (trust > 0), guess, ids)
-            sure[place] = np.where(right, np.minimum(trust + np.uint8(1), np.uint8(3)), trust >> np.uint8(1))
+    def update(self, ids: np.ndarray, at: np.ndarray, missed: np.ndarray) -> None:
+        """Learn the ``ids`` of a step, coded as the kinds ``at`` (three times the context, and the kind)."""
+        self.odds += np.bincount(at, minlength=96).reshape(32, 3) * 16
+        fresh = ids << 2
+        for held, guess, place, following in ((self.held1, self.guess1, self.last, self.next1),
+                                              (self.held2, self.guess2, self.at2, self.next2)):
+            trust = held & 3
+            following[place] = np.where(guess == ids, held + (trust < 3),
+                                        np.where(trust > 0, held - trust + (trust >> 1), fresh))
         self.seen.append(missed)
-        self.before, self.last = self.last, ids
+        self.last = ids.astype(np.int64)
         self.step += 1
         if self.step & 3 == 0 or self.step < 8:
             self._set_odds()
@@ -140,7 +142,7 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
         missed = x[miss]
         if len(miss):
             code(miss, model.count_below[missed], model.count_share[missed], COUNT_BITS)
-        model.update(x, kind, missed)
+        model.update(x, at, missed)
     flat[place] = (low >> _S30).astype(np.uint32)
     flat[place + 1] = ((low & _LOW) << _U(2)).astype(np.uint32)
     used = place + 2 - np.arange(lanes) * width
@@ -183,8 +185,7 @@ def decode_block(data: bytes, n: int, vocabulary: int) -> np.ndarray:
     for step in range(steps):
         context = model.predict()
         unit = span >> _U(ODDS_BITS)
-        slot = value // unit
-        kind = (slot >= model.cut1[context]).astype(np.int64) + (slot >= model.cut2[context])
+        kind = (value >= unit * model.cut1[context]).astype(np.int64) + (value >= unit * model.cut2[context])
         at = context * 3 + kind
         narrow(None, value, span, unit, model.below[at], model.share[at])
         x = np.where(kind == 0, model.guess2, model.guess1)
@@ -198,7 +199,7 @@ def decode_block(data: bytes, n: int, vocabulary: int) -> np.ndarray:
         else:
             missed = x[:0]
         out[step] = x
-        model.update(x, kind, missed)
+        model.update(x, at, missed)
     return out.T.ravel()[:n]
 
 
