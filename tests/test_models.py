@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import drift
 from tidewatch.operators.snapshots import FEATURES
-from tidewatch.plans import attribution, backtest, models, nested, nested_drift, registry, text_classifier
+from tidewatch.plans import attribution, backtest, boosting, models, nested, nested_drift, registry, text_classifier
 from tidewatch.session import scratch_path, stage
 
 SPEC = models.Spec("id", "y", ["contract"], ["tenure", "charges"], rounds=3)
@@ -110,6 +110,38 @@ def test_boosted_fits_have_a_partition_per_core_until_it_is_large(spark, book, m
     assert raw[0] == pytest.approx(raw[1])
 
 
+def test_models_of_a_table_are_grown_together(spark, book):
+    spec = models.Spec("id", "y", ["contract"], ["tenure", "charges"], rounds=6)
+    members = {"all": F.lit(True), "some": F.col("id") % 3 != 0, "yearly": F.col("contract") != "month"}
+    jobs = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    made = models.fit_together(book, members, spec)
+    jobs = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - jobs
+    assert len(jobs) < 90                   # a job per level of all three models; three separate fits take over 200
+    for name, where in members.items():
+        rows = book.filter(where)
+        one = models.build_pipeline(spec).fit(models.with_positive_weight(rows, "y").coalesce(1))
+        got, want = ({r["id"]: r["raw"] for r in models.raw_score(m, book).collect()} for m in (made[name], one))
+        assert got == pytest.approx(want)
+        assert all(t._call_java("rootNode").impurityStats().rawCount() == rows.count() for t in made[name].stages[-1].trees)
+        got, want = ({r["feature"]: r["importance"] for r in models.importances(m, spec, rows).collect()} for m in (made[name], one))
+        assert got == pytest.approx(want, abs=0.05)         # a tie of two fields may go either way
+
+
+def test_boosted_state_is_computed_anew(spark, book, monkeypatch):
+    spec = models.Spec("id", "y", ["contract"], ["tenure", "charges"], rounds=7)
+    one = models.fit(book, spec)
+    monkeypatch.setattr(boosting, "REBASE", 3)
+    other = models.fit(book, spec)
+    assert one.stages[-1].toDebugString.split("\n")[1:] == other.stages[-1].toDebugString.split("\n")[1:]
+
+
+def test_thresholds_are_weighted_quantiles():
+    assert list(boosting.thresholds(np.array([3.0, 1.0, 3.0, np.nan, 7.0]), np.ones(5), 5)) == [2.0, 5.0]
+    x = np.arange(1000.0)
+    cut = boosting.thresholds(x, np.where(x < 500, 3.0, 1.0), 1000)
+    assert len(cut) == 31 and (cut < 500).sum() == 24      # three quarters of the weight
+
+
 def test_fits_side_by_side_hold_a_bounded_number_of_rows(spark, book, monkeypatch):
     running, most, lock = [0], [0], threading.Lock()
 
