@@ -268,6 +268,36 @@ def test_nested_fits_equal_single_ones(spark):
         assert {f: w for a, f, w in made.importances() if a == at} == pytest.approx(weights, abs=2e-6)
 
 
+def test_newton_sums_of_rows_in_any_order(spark):
+    rng = np.random.default_rng(8)
+    place, y, x = rng.integers(0, 4, 3000), rng.integers(0, 2, 3000), rng.normal(size=(3000, 2))
+    rows = spark.createDataFrame([(float(p), float(v), float(a), float(b)) for p, v, (a, b) in zip(place, y, x)],
+                                 "place double, y double, a double, b double").repartition(3)
+    weights, since, beta = np.array([2.0, 3.0]), np.array([1.0, 2.0]), rng.normal(size=(2, 3))
+    got = nested._sums(rows, weights, since, beta)
+    assert got.shape == (2, 1 + 3 + 6)              # loss, gradient, half of the Hessian: one row of sums leaves a task
+    for i in range(2):
+        of = place <= since[i]
+        full, label = np.column_stack([x[of], np.ones(of.sum())]), y[of]
+        z, w = full @ beta[i], np.where(label == 1, weights[i], 1.0)
+        p = 1 / (1 + np.exp(-z))
+        assert got[i, 0] == pytest.approx((w * (np.logaddexp(0, z) - label * z)).sum())
+        assert got[i, 1:4] == pytest.approx((w * (p - label)) @ full)
+        assert got[i, 4:] == pytest.approx((full.T @ (full * (w * p * (1 - p))[:, None]))[np.triu_indices(3)])
+
+
+def test_bins_look_a_value_up_once(spark, monkeypatch):
+    looked = []
+    real = np.unique
+    monkeypatch.setattr(nested_drift.np, "unique", lambda x, *a, **k: looked.append(len(x)) or real(x, *a, **k))
+    day = [dt.datetime(2010, m, 1) for m in range(1, 6)]
+    snaps = spark.createDataFrame([(d, float((7 * i + m) % 40)) for m, d in enumerate(day) for i in range(40)],
+                                  "cutoff timestamp_ntz, x double").cache()
+    newest = {day[0]: day[2], day[1]: day[3], day[2]: day[4]}
+    assert nested_drift.nested_psi(snaps, ["x"], newest).filter("abs(psi) > 1e-9").isEmpty()
+    assert 3 * 9 in looked              # the inner edges of all models make one grid
+
+
 def test_triggered_chain(spark):
     day = [dt.datetime(2010, m, 1) for m in range(1, 13)]
     fires = {(1, 3), (1, 4), (3, 4), (4, 4), (4, 9), (5, 6), (9, 11)}
