@@ -1,6 +1,7 @@
 """Streams over several micro-batches agree with the batch operators."""
 
 import datetime as dt
+import json
 from decimal import Decimal
 
 import pytest
@@ -101,6 +102,21 @@ def test_pending_events_expire(spark):
     assert got[1] == ("answered", 0.02) and got[2] == ("expired", 0.0) and got[3][0] == got[5][0] == "pending"
 
 
+def test_sliding_hours_keep_one_state_per_step(spark, log):
+    path, table = log
+    live = streams.sliding_hour(streams.folder_stream(spark, path, table.schema), "10 days")
+    out = scratch_path(spark, "hours")
+    query = streams.per_batch(live, out, mode="update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    counted = table.filter("outcome <> 'failed'")
+    steps = counted.select(F.window("at", "5 minutes")["start"], "visitor").distinct().count()
+    assert json.loads(query.recentProgress[-1].json)["stateOperators"][0]["numRowsTotal"] == steps
+    got = streams.hours(streams.newest(spark, out, live.schema, ["window_start", "visitor"]))
+    whole = counted.groupBy(F.window("at", "1 hour", "5 minutes")["start"].alias("window_start"), "visitor").agg(
+        F.count(F.lit(1)).alias("questions"))
+    assert rows_of(got.columns, got.collect()) == rows_of(whole.columns, whole.collect())
+
+
 STREAMS = ["stream_daily_usage", "stream_monthly_usage", "stream_sliding_hour", "stream_telemetry", "stream_routing",
            "stream_event_state", "stream_retention", "stream_quota"]
 

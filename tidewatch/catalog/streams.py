@@ -81,8 +81,9 @@ def stream_monthly_usage(spark, folder):
 SELECT window_start, visitor, count(*) AS questions FROM s GROUP BY 1, 2""")
 def stream_sliding_hour(spark, folder):
     """Questions per visitor in every sliding hour."""
-    return _updated(spark, streams.sliding_hour(_events(spark, folder), _backfill(spark, folder)), "hour",
-                    ["window_start", "visitor"])
+    steps = _updated(spark, streams.sliding_hour(_events(spark, folder), _backfill(spark, folder)), "hour",
+                     ["window_start", "visitor"])
+    return streams.hours(steps)
 
 
 @query("stream_telemetry", f"""WITH {EVENTS} SELECT CAST(date_trunc('minute', "at") AS TIMESTAMP) AS window_start, event_type,

@@ -148,12 +148,24 @@ def monthly_usage(events: DataFrame, lateness: str = "1 day") -> DataFrame:
 
 
 def sliding_hour(events: DataFrame, lateness: str = "1 hour", step: str = "5 minutes") -> DataFrame:
-    """Questions per visitor in every sliding hour; coarser than the batch trailing hour by one step."""
-    rows = events.withColumn("at", _instant("at")).filter(counted()).withWatermark("at", lateness)
-    return _start(rows.groupBy(F.window("at", "1 hour", step), "visitor").agg(
+    """Questions per visitor and step; ``hours`` makes the sliding hours of the newest ones.
+
+    An event is in twelve windows but in one step, so the state is a twelfth of that of windows.  A step is needed for
+    as long as the last window that it is in.
+    """
+    rows = events.withColumn("at", _instant("at")).filter(counted()).withWatermark("at", f"{lateness} 60 minutes")
+    return _start(rows.groupBy(F.window("at", step), "visitor").agg(
         F.count(F.lit(1)).alias("questions")), "visitor", "questions")
 
 
+def hours(steps: DataFrame, step: str = "5 minutes") -> DataFrame:
+    """Questions per visitor in every sliding hour; coarser than the batch trailing hour by one step."""
+    first = F.col("window_start") - F.expr("INTERVAL 1 HOUR") + F.expr(f"INTERVAL {step}")
+    starts = F.explode(F.sequence(first, F.col("window_start"), F.expr(f"INTERVAL {step}")))
+    return steps.select(starts.alias("window_start"), "visitor", "questions").groupBy("window_start", "visitor").agg(
+        F.sum("questions").alias("questions"))
+
+
 def route_telemetry(requests: DataFrame, ts: str, route: str, seconds: str, every: str = "1 minute",
                     lateness: str = "10 minutes") -> DataFrame:
     """Requests, total and largest latency per window and route."""
